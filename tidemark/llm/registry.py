@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash
+from tidemark.llm import line_dedup, simhash, substring
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.query,
+    "op4_substring_dedup": substring.query,
+    "op10_line_dedup": line_dedup.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": substring.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
