@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, simhash, substring
+from tidemark.llm import decontaminate, line_dedup, simhash, substring
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.query,
     "op4_substring_dedup": substring.query,
+    "op6_decontaminate": decontaminate.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring.SQL,
+    "op6_decontaminate": decontaminate.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
