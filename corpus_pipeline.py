@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import decontaminate, line_dedup, quality_crf, sentencepiece_tokens, simhash
 from tidemark.runtime import materialize, table
 
 STAGES = [
+    ("quality_classifier", quality_crf.stage),
+    ("line_dedup", line_dedup.stage),
     ("simhash_near_dedup", simhash.stage),
+    ("decontamination", decontaminate.stage),
+    ("sentencepiece", sentencepiece_tokens.stage),
 ]
 #: The stages train models and decide by fingerprints, which SQL can't express.
 ORACLE_SQL = None

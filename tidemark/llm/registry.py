@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, line_dedup, simhash, substring
+from tidemark.llm import decontaminate, line_dedup, quality_crf, quality_rules, sentencepiece_tokens, simhash, substring, toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.query,
     "op4_substring_dedup": substring.query,
+    "op5_sentencepiece": sentencepiece_tokens.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_quality_rules": quality_rules.query,
+    "op8_quality_classifier": quality_crf.query,
+    "op9_toxicity": toxicity.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {
