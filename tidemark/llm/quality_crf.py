@@ -16,6 +16,7 @@ from tidemark.runtime import ship, table
 
 TRAIN_DOCS = 4000  # labelled documents that the model is fitted on, at most
 KEEP = 0.5
+N_FEATURES = 39
 
 
 def line_features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,13 +54,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[n
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"])
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    y = rows["quality"].to_numpy(np.int64)
-    x, ptr, _ = line_features(pa.array(rows["text"].tolist(), pa.string()))
-    label = np.repeat(y, np.diff(ptr))
+    rows = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    # one task fits the model, so that the driver never holds the texts
+    fitted = rows.repartition(1).mapInArrow(_fit_batches, "weight array<double>, pair array<double>").first()
+    if fitted is None:
+        return np.zeros(N_FEATURES), np.zeros((2, 2))
+    return np.array(fitted["weight"]), np.array(fitted["pair"]).reshape(2, 2)
+
+
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = []
+    for batch in batches:
+        for part in tk.slices(batch, "text"):
+            x, ptr, _ = line_features(part.column("text"))
+            for doc, y, lo, hi in zip(part.column("doc_id").to_pylist(), part.column("quality").to_pylist(), ptr[:-1], ptr[1:]):
+                docs.append((doc, y, x[lo:hi]))
+    docs.sort(key=lambda d: d[0])
+    label = np.concatenate([np.full(len(x), y, np.int64) for _, y, x in docs]) if docs else np.zeros(0, np.int64)
     if len(set(label.tolist())) < 2:
-        return np.zeros(x.shape[1]), np.zeros((2, 2))
-    return crf.fit(x, ptr, label)
+        return
+    ptr = np.concatenate([[0], np.cumsum([len(x) for _, _, x in docs])])
+    weight, pair = crf.fit(np.concatenate([x for _, _, x in docs]), ptr, label)
+    yield pa.RecordBatch.from_arrays([pa.array([weight.tolist()]), pa.array([pair.ravel().tolist()])], ["weight", "pair"])
 
 
 def _score_batches(weight: np.ndarray, pair: np.ndarray) -> Callable:

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,8 +167,8 @@ def distinct(texts: pa.Array) -> np.ndarray:
     return np.array(keep, bool)
 
 
-def learn(texts: pa.Array, toxic: np.ndarray) -> tuple[Lexicon, np.ndarray]:
-    """Insults, and the grammar's weights, from labelled texts.
+def learn(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """Insults, insulting stems by their bytes, and the grammar's weights, from labelled texts.
 
     An insult is a word, or a word beginning of STEMS bytes, that LEAST_DOCS toxic texts have and
     of whose texts LEAST_SHARE are toxic. The weight of an output is the share of toxic texts
@@ -197,7 +196,8 @@ def learn(texts: pa.Array, toxic: np.ndarray) -> tuple[Lexicon, np.ndarray]:
         unique, where, count = np.unique(value, return_inverse=True, return_counts=True)
         hits = np.bincount(where, weights=bad, minlength=len(unique))
         learned[k] = unique[(hits >= LEAST_DOCS) & (hits >= LEAST_SHARE * count)]
-    lexicon = Lexicon(learned[0], {k: learned[k] for k in STEMS})
+    stems = {k: learned[k] for k in STEMS}
+    lexicon = Lexicon(learned[0], stems)
     weight = np.array([_PRIOR[x] for x in GRAMMAR.outputs])
     n, hit = np.zeros(len(weight)), np.zeros(len(weight))
     rank = np.argsort(np.argsort(weight))
@@ -211,7 +211,17 @@ def learn(texts: pa.Array, toxic: np.ndarray) -> tuple[Lexicon, np.ndarray]:
         np.add.at(n, top, 1)
         np.add.at(hit, top, toxic[base : base + rows][has])
         base += rows
-    return lexicon, np.where(weight > 0, (hit + _PRIOR_DOCS * weight) / (n + _PRIOR_DOCS), 0.0)
+    return learned[0], stems, np.where(weight > 0, (hit + _PRIOR_DOCS * weight) / (n + _PRIOR_DOCS), 0.0)
+
+
+def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        rows = pa.Table.from_batches(parts).sort_by("doc_id").combine_chunks()
+        text = rows.column("text").combine_chunks()
+        insults, stems, weight = learn(text, rows.column("toxic").to_numpy())
+        for size, known in {0: insults, **stems}.items():
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([known.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())], ["size", "known", "weight"])
 
 
 def _score(lexicon: Lexicon, weight: np.ndarray) -> Callable:
@@ -246,9 +256,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).dropna().dropDuplicates(["doc_id"])
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = texts.filter("text is not null").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    column = rows.column("text").combine_chunks()
-    lexicon, weight = learn(column if isinstance(column, pa.Array) else pc.cast(pa.concat_arrays(column.chunks), pa.string()), rows.column("toxic").to_numpy())
+    rows = texts.filter("text is not null").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    # one task learns, so that the driver never holds the texts
+    learned = rows.repartition(1).mapInArrow(_learn_batches, "size int, known binary, weight binary").collect()
+    known = {r["size"]: np.frombuffer(r["known"], np.uint64) for r in learned}
+    weight = np.frombuffer(learned[0]["weight"]) if learned else np.array([_PRIOR[x] for x in GRAMMAR.outputs])
+    lexicon = Lexicon(known.pop(0, np.zeros(0, np.uint64)), known)
     return texts.mapInArrow(_score(lexicon, weight), "doc_id long, toxicity double, clauses int").withColumn("toxic", F.col("toxicity") >= TOXIC)
 
 
