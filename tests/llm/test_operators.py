@@ -83,6 +83,19 @@ def test_simhash_groups_against_all_pairs(docs):
         assert index[g] in may[index[d]] and g == min(x for x, y in group.items() if y == g)
 
 
+def test_simhash_recall_of_all_pairs_within_verify_bits(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    local = docs.orderBy("doc_id").toArrow()
+    prints = simhash.fingerprints(local.column("text").combine_chunks())
+    ids = local.column("doc_id").to_pylist()
+    group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
+    bits = sum(np.bitwise_count(prints[:, None, w] ^ prints[None, :, w]).astype(int) for w in range(simhash.LANES))
+    full = prints.any(axis=1)
+    a, b = np.nonzero(np.triu((bits > 0) & (bits <= simhash.VERIFY_BITS) & full[:, None] & full, 1))
+    caught = [ids[x] in group and group[ids[x]] == group.get(ids[y]) for x, y in zip(a, b)]
+    assert len(a) > 50 and np.mean(caught) >= 0.98
+
+
 def test_dense_lists_join_the_same_groups(spark):
     rng = np.random.default_rng(2)
     n = 3 * simhash.DENSE

@@ -14,9 +14,9 @@ from tidemark.llm import textkernel as tk
 from tidemark.llm.components import components
 from tidemark.runtime import materialize, ship, table
 
-LANES = 4  # 64-bit words of the fingerprint; the first one is indexed
-MIN_SHARED = 3  # of its 8 bytes: every pair within 5 bits shares so many
-ROUGH_BITS = 16  # most differing bits in the indexed word
+LANES = 4  # 64-bit words of the fingerprint, each indexed by itself
+MIN_SHARED = 3  # of a word's 8 bytes: every pair within 5 bits there shares so many
+ROUGH_BITS = 16  # most differing bits in the word where a pair meets
 VERIFY_BITS = 40  # most differing bits in the whole fingerprint
 DENSE = 64  # postings from which a list gives a spanning forest instead of all its pairs
 _TRIPLES = np.array(list(combinations(range(8), MIN_SHARED)), np.int64)
@@ -101,11 +101,12 @@ def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes out of whole posting lists (all rows of each key that occurs).
+    """Pairs of nodes out of whole posting lists (all rows of each key that occurs); prints holds
+    the word that the key was taken from.
 
     For each pair in a list the shared positional bytes are tallied; it is kept if they reach
-    MIN_SHARED and the words differ in at most ROUGH_BITS bits. A pair comes from the list of its
-    first shared positions only, so none comes twice; a list of more than DENSE postings
+    MIN_SHARED and the words differ in at most ROUGH_BITS bits. Of the lists of one word a pair
+    comes from that of its first shared positions only, so at most once a word; a list of more than DENSE postings
     gives a minimum spanning forest, which joins the same documents with fewer pairs.
     """
     order = np.argsort(key, kind="stable")
@@ -134,7 +135,7 @@ def candidate_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tu
         i, j, x = i[near], j[near], x[near]
         same = x.view(np.uint8).reshape(-1, 8) == 0
         tally = same.cumsum(axis=1)
-        triple = _TRIPLES[key[i] >> 24]
+        triple = _TRIPLES[key[i] >> 24 & 63]
         rank = tally[np.arange(len(i))[:, None], triple]
         own = (rank == np.arange(1, MIN_SHARED + 1)).all(axis=1) & (tally[:, -1] >= MIN_SHARED)
         left.append(node[i[own]])
@@ -148,16 +149,18 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     parts = [b for b in batches if b.num_rows]
     if parts:
         whole = pa.Table.from_batches(parts)
-        key, node, prints = (whole.column(c).to_numpy() for c in ("key", "node", "f0"))
+        key, node, prints = (whole.column(c).to_numpy() for c in ("key", "node", "word"))
         a, b = candidate_pairs(key.astype(np.int64), node, np.ascontiguousarray(prints).view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _keys() -> F.Column:
-    byte = [F.shiftrightunsigned(F.col("f0"), 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
+def _keys(lane: int) -> F.Column:
+    """Keys of a word: its number and the triple's in the upper byte, then the three bytes."""
+    byte = [F.shiftrightunsigned(F.col(f"f{lane}"), 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
     keys = []
     for t, positions in enumerate(_TRIPLES.tolist()):
-        x = F.lit(t << 24)
+        kind = lane << 6 | t
+        x = F.lit((kind - 256 if kind > 127 else kind) << 24)
         for i, p in enumerate(positions):
             x = x.bitwiseOR(F.shiftleft(byte[p], 8 * i))
         keys.append(x.cast("int"))
@@ -169,8 +172,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     documents or more; group_id is the least doc_id of the group.
 
     Each text gets a SimHash of LANES x 64 bits over its distinct lower-case words. The index
-    posts every choice of three positional bytes of the first 64 bits: two documents within 5 bits
-    there share at least MIN_SHARED = 8 - 5 of the 8 bytes, so they meet in a list; many that
+    posts every choice of three positional bytes of each word: two documents within 5 bits in any
+    word share at least MIN_SHARED = 8 - 5 of its 8 bytes, so they meet in a list; many that
     differ in more bits meet too. In the lists, shared bytes are tallied per pair, those that reach
     the minimum are kept, and the whole fingerprints verify them: at most VERIFY_BITS of 256 bits.
     Groups are the connected components. Equal fingerprints are one node, so thousands of exact
@@ -184,7 +187,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     prints = materialize(texts.mapInArrow(_fingerprint_batches, "doc_id long, " + ", ".join(f"{c} long" for c in lanes)), "fingerprints")
     nodes = materialize(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("top")), "nodes")
-    postings = nodes.select("node", "f0", F.explode(_keys()).alias("key"))
+    words = nodes.select("node", F.inline(F.array(*(F.struct(F.col(f).alias("word"), _keys(i).alias("keys")) for i, f in enumerate(lanes)))))
+    postings = words.select("node", "word", F.explode("keys").alias("key"))
     pairs = postings.repartition("key").mapInArrow(_pair_batches, "a long, b long").distinct()
     side = {c: nodes.select(F.col("node").alias(c), *(F.col(f).alias(f + c) for f in lanes)) for c in "ab"}
     bits = sum((F.bit_count(F.col(f + "a").bitwiseXOR(F.col(f + "b"))) for f in lanes), F.lit(0))
