@@ -107,6 +107,47 @@ def test_dense_lists_join_the_same_groups(spark):
     assert len(set(root.tolist())) == 1
 
 
+def test_dense_lists_keep_the_verified_components():
+    rng = np.random.default_rng(5)
+    n = 4 * simhash.DENSE
+    prints = np.repeat(rng.integers(0, 1 << 63, (n // 8, simhash.LANES)).astype(np.uint64), 8, axis=0)
+    for row in prints:
+        for bit in rng.integers(0, 256, 26).tolist():
+            row[bit // 64] ^= np.uint64(1 << bit % 64)
+    prints[:, 0] = (prints[:, 0] & np.uint64(0xFF000000)) | rng.integers(0, 256, n).astype(np.uint64)  # word 0 misleads
+
+    def roots(pairs):
+        root = np.arange(n)
+        for x, y in pairs:
+            root[root == root[y]] = root[x]
+        return [np.flatnonzero(root == r)[0] for r in root]
+
+    bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
+    want = roots(zip(*np.nonzero(np.triu(bits <= simhash.VERIFY_BITS, 1))))
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(np.arange(n)), *(pa.array(prints[:, i].view(np.int64)) for i in range(simhash.LANES))], ["list", "node", *(f"f{i}" for i in range(simhash.LANES))])
+    (out,) = simhash._forest_batches(iter([batch]))
+    a, b = (out.column(c).to_numpy() for c in "ab")
+    assert (bits[a, b] <= simhash.VERIFY_BITS).all() and roots(zip(a, b)) == want and 1 < len(set(want)) < n
+
+
+def test_simhash_posts_dense_lists_whole(spark):
+    """Groups of near copies in dense lists are those of all pairs."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(100):
+        words = [f"w{k}" for k in range(150)]
+        for k in rng.integers(0, 150, 5).tolist():
+            words[k] = f"x{i}y{k}"
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    prints = simhash.fingerprints(pa.array([t for _, t in texts]))
+    bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
+    left, right = simhash._forest(prints)
+    joined = set(left.tolist()) | set(right.tolist())
+    assert joined == set(np.flatnonzero((bits <= simhash.VERIFY_BITS).sum(axis=1) > 1).tolist())
+    assert {r["doc_id"] for r in simhash.near_duplicates(df).collect()} == joined and len(joined) > simhash.DENSE
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 102), (102, 101)]
     got = dict(rows(components.components(spark.createDataFrame(edges, "a long, b long"))))

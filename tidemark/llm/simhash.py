@@ -20,6 +20,7 @@ ROUGH_BITS = 16  # most differing bits in the word where a pair meets
 VERIFY_BITS = 40  # most differing bits in the whole fingerprint
 DENSE = 64  # postings from which a list gives a spanning forest instead of all its pairs
 _TRIPLES = np.array(list(combinations(range(8), MIN_SHARED)), np.int64)
+_MASKS = [sum(255 << 8 * p for p in t) for t in _TRIPLES.tolist()]
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(LANES)]
 
 
@@ -76,27 +77,22 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             )
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
 def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A minimum spanning forest (Prim) of the items within ROUGH_BITS of each other."""
-    n = len(prints)
-    best, parent, open_ = np.full(n, 255, np.uint8), np.zeros(n, np.int64), np.ones(n, bool)
-    left, right, at = [], [], 0
-    open_[0] = False
-    for _ in range(n - 1):
-        d = _distance(prints, prints[at])
-        closer = open_ & (d < best)
-        best[closer], parent[closer] = d[closer], at
-        at = int(np.argmin(np.where(open_, best, 255)))
-        if not open_[at]:
-            at = int(np.argmax(open_))
-        if best[at] <= ROUGH_BITS:
-            left.append(parent[at])
-            right.append(at)
-        open_[at] = False
+    """A spanning forest of the items joined by pairs within VERIFY_BITS; all lanes given count."""
+    prints = prints.reshape(len(prints), -1)
+    left, right = [], []
+    rest = np.arange(len(prints))
+    queue: list[int] = []
+    while len(rest):
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+        at = queue.pop()
+        bits = np.bitwise_count(prints[rest] ^ prints[at]).sum(axis=1, dtype=np.int64)
+        near = rest[bits <= VERIFY_BITS]
+        rest = rest[bits > VERIFY_BITS]
+        left += [at] * len(near)
+        right += near.tolist()
+        queue += near.tolist()
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
@@ -106,8 +102,9 @@ def candidate_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tu
 
     For each pair in a list the shared positional bytes are tallied; it is kept if they reach
     MIN_SHARED and the words differ in at most ROUGH_BITS bits. Of the lists of one word a pair
-    comes from that of its first shared positions only, so at most once a word; a list of more than DENSE postings
-    gives a minimum spanning forest, which joins the same documents with fewer pairs.
+    comes from that of its first shared positions only, so at most once a word. A list of more
+    than DENSE postings gives a spanning forest of its pairs within VERIFY_BITS; with all lanes in
+    prints that joins the same documents as all its verified pairs.
     """
     order = np.argsort(key, kind="stable")
     key, node, prints = key[order], node[order], prints[order]
@@ -145,28 +142,41 @@ def candidate_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tu
     return np.concatenate(left), np.concatenate(right)
 
 
+def _list_keys(kind: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The kind (lane and triple) in the upper byte, then the triple's three bytes of the word."""
+    byte = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+    value = byte[np.arange(len(kind))[:, None], _TRIPLES[kind & 63]].astype(np.int64)
+    return kind.astype(np.int64) << 24 | value[:, 0] | value[:, 1] << 8 | value[:, 2] << 16
+
+
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the lists of up to DENSE postings; (node, null, list) for each posting of a longer one."""
     parts = [b for b in batches if b.num_rows]
     if parts:
         whole = pa.Table.from_batches(parts)
-        key, node, prints = (whole.column(c).to_numpy() for c in ("key", "node", "word"))
-        a, b = candidate_pairs(key.astype(np.int64), node, np.ascontiguousarray(prints).view(np.uint64))
+        kind, node, word = (whole.column(c).to_numpy() for c in ("kind", "node", "word"))
+        word = np.ascontiguousarray(word).view(np.uint64)
+        key = _list_keys(kind, word)
+        _, where, size = np.unique(key, return_inverse=True, return_counts=True)
+        dense = size[where] > DENSE
+        a, b = candidate_pairs(key[~dense], node[~dense], word[~dense])
+        n = int(dense.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([a, node[dense]])), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(n, pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key[dense], pa.int64())])],
+            ["a", "b", "list"],
+        )
+
+
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified pairs that join the members of each dense list, by their whole fingerprints."""
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        whole = pa.Table.from_batches(parts)
+        prints = np.column_stack([whole.column(f"f{i}").to_numpy() for i in range(LANES)]).view(np.uint64)
+        a, b = candidate_pairs(whole.column("list").to_numpy(), whole.column("node").to_numpy(), prints)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _keys(lane: int) -> F.Column:
-    """Keys of a word: its number and the triple's in the upper byte, then the three bytes."""
-    byte = [F.shiftrightunsigned(F.col(f"f{lane}"), 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
-    keys = []
-    for t, positions in enumerate(_TRIPLES.tolist()):
-        kind = lane << 6 | t
-        x = F.lit((kind - 256 if kind > 127 else kind) << 24)
-        for i, p in enumerate(positions):
-            x = x.bitwiseOR(F.shiftleft(byte[p], 8 * i))
-        keys.append(x.cast("int"))
-    return F.array(*keys)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Groups of near-duplicate documents: (doc_id, group_id) for each member of a group of two
     documents or more; group_id is the least doc_id of the group.
@@ -176,6 +186,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     word share at least MIN_SHARED = 8 - 5 of its 8 bytes, so they meet in a list; many that
     differ in more bits meet too. In the lists, shared bytes are tallied per pair, those that reach
     the minimum are kept, and the whole fingerprints verify them: at most VERIFY_BITS of 256 bits.
+    Lists of more than DENSE postings are joined by forests of verified pairs.
     Groups are the connected components. Equal fingerprints are one node, so thousands of exact
     copies cost one posting.
 
@@ -187,12 +198,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     prints = materialize(texts.mapInArrow(_fingerprint_batches, "doc_id long, " + ", ".join(f"{c} long" for c in lanes)), "fingerprints")
     nodes = materialize(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("top")), "nodes")
-    words = nodes.select("node", F.inline(F.array(*(F.struct(F.col(f).alias("word"), _keys(i).alias("keys")) for i, f in enumerate(lanes)))))
-    postings = words.select("node", "word", F.explode("keys").alias("key"))
-    pairs = postings.repartition("key").mapInArrow(_pair_batches, "a long, b long").distinct()
+    words = nodes.select("node", F.inline(F.array(*(F.struct(F.lit(i).alias("lane"), F.col(f).alias("word")) for i, f in enumerate(lanes)))))
+    postings = words.select("node", "word", F.explode(F.sequence(F.col("lane") * 64, F.col("lane") * 64 + len(_MASKS) - 1)).alias("kind"))
+    # the bytes of a list are in the word: only its kind is posted beside it
+    masks = F.array(*map(F.lit, [m - (1 << 64) if m >> 63 else m for m in _MASKS]))
+    bytes_ = F.col("word").bitwiseAND(F.get(masks, F.col("kind").bitwiseAND(F.lit(63))))
+    met = materialize(postings.repartition("kind", bytes_).mapInArrow(_pair_batches, "a long, b long, list long"), "met")
+    pairs = met.filter("list is null").select("a", "b").distinct()
+    dense = met.filter("list is not null").select("list", F.col("a").alias("node")).join(nodes.select("node", *lanes), "node")
+    forests = dense.repartition("list").mapInArrow(_forest_batches, "a long, b long")
     side = {c: nodes.select(F.col("node").alias(c), *(F.col(f).alias(f + c) for f in lanes)) for c in "ab"}
     bits = sum((F.bit_count(F.col(f + "a").bitwiseXOR(F.col(f + "b"))) for f in lanes), F.lit(0))
-    roots = components(pairs.join(side["a"], "a").join(side["b"], "b").filter(bits <= VERIFY_BITS).select("a", "b"))
+    verified = pairs.join(side["a"], "a").join(side["b"], "b").filter(bits <= VERIFY_BITS).select("a", "b")
+    roots = components(verified.unionByName(forests))
     grouped = nodes.join(roots, "node", "left").withColumn("group_id", F.coalesce("root", "node"))
     # a node stands alone unless it has several documents or another node's root is here
     sizes = grouped.groupBy("group_id").agg(F.count("*").alias("nodes"), F.max("top").alias("most")).filter("nodes > 1 or most > group_id")
