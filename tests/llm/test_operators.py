@@ -266,6 +266,21 @@ def test_toxicity_held_out(spark):
     assert got[got["toxic"] == 1]["found"].mean() > 0.5
 
 
+def test_toxicity_with_few_labels(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    got = toxicity.score(docs, labels).withColumnRenamed("toxic", "found").join(labels, "doc_id").toPandas()
+    assert got[got["toxic"] == 1]["found"].mean() > 0.5 and got[got["toxic"] == 0]["found"].mean() < 0.05
+    texts = spark.createDataFrame([(1, "you are an idiot"), (2, "du bist ein trottel"), (3, "tu es un connard"), (4, "eres un gilipollas"), (5, "you are early")], "doc_id long, text string")
+    assert {r["doc_id"] for r in toxicity.score(texts, labels.limit(0)).collect() if r["toxic"]} == {1, 2, 3, 4}
+
+
+def test_toxicity_learns_by_significance():
+    hits, count = np.array([5, 5, 2, 40]), np.array([5, 5, 2, 60])
+    assert toxicity.significant(hits, count, 0.1).tolist() == [True, True, True, True]
+    assert not toxicity.significant(hits[:3], count[:3], 0.9).any()
+    assert not toxicity.significant(np.full(1000, 2), np.full(1000, 2), 0.1).any()
+
+
 def test_line_dedup_against_sql(docs):
     docs = docs.select("doc_id", "text")
     got = rows(line_dedup.line_dedup(docs))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,15 @@ from tidemark.llm import wfst
 from tidemark.runtime import ship, table
 
 TRAIN_DOCS = 10_000  # labelled documents from which insults and weights are learned, at most
-LEAST_DOCS, LEAST_SHARE = 8, 0.97  # of an insult: toxic documents that have it, of all that do
+LEAST_SHARE = 0.97  # of a learned insult: toxic documents among all that have it
+CHANCE = 0.05  # most words or stems of as many texts expected to be as toxic if labels fell at random
 STEMS = (4, 5, 6, 7)  # bytes of word beginnings that may be insults
 SCOPE = 3  # words that negation and targets reach
 TOXIC = 0.5
 
 SYMBOLS = ["other", "insult", "threat", "target", "negation", "report"]
 _WORDS = {
+    "insult": "idiot idiots moron morons loser losers scum stupid imbecile imbeciles pathetic worthless disgusting dumbass asshole bastard bitch retard dimwit idiotin idioten dummkopf trottel vollidiot arschloch schlampe abschaum versager depp wichser hurensohn connard connasse salaud salope imbécile imbéciles crétin crétine abruti abrutie ordure idiote idiota idiotas imbécil estúpido estúpida gilipollas cabrón pendejo escoria",
     "threat": "kill hurt destroy murder stab shoot beat töten umbringen schlagen vernichten tuer frapper détruire buter matar golpear destruir herir",
     "target": "you your yours yourself u du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre tú ti tus vosotros usted ustedes vuestro",
     "negation": "not never no without isn't aren't nicht kein keine niemals nie ne jamais sans aucun nunca jamás sin tampoco ningún",
@@ -167,11 +170,24 @@ def distinct(texts: pa.Array) -> np.ndarray:
     return np.array(keep, bool)
 
 
+def significant(hits: np.ndarray, count: np.ndarray, share: float) -> np.ndarray:
+    """Features that so many toxic texts hold hardly by chance: at most CHANCE of the features in
+    at least as many texts are expected to, by the union bound C(count, hits) share^hits."""
+    out = np.zeros(len(hits), bool)
+    if not 0 < share < 1:
+        return out
+    tested = len(count) - np.searchsorted(np.sort(count), count)
+    for i in np.flatnonzero(hits > share * count).tolist():
+        n, h = float(count[i]), float(hits[i])
+        out[i] = log(tested[i]) + lgamma(n + 1) - lgamma(h + 1) - lgamma(n - h + 1) + h * log(share) <= log(CHANCE)
+    return out
+
+
 def learn(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
     """Insults, insulting stems by their bytes, and the grammar's weights, from labelled texts.
 
-    An insult is a word, or a word beginning of STEMS bytes, that LEAST_DOCS toxic texts have and
-    of whose texts LEAST_SHARE are toxic. The weight of an output is the share of toxic texts
+    An insult is a word, or a word beginning of STEMS bytes, of whose texts LEAST_SHARE are toxic
+    and that stands out by significant(). The weight of an output is the share of toxic texts
     among those where it is the strongest match, drawn towards _PRIOR by _PRIOR_DOCS texts."""
     alone = distinct(texts)  # the words of a toxic text that was copied often aren't insults
     texts, toxic = texts.filter(pa.array(alone)), toxic[alone]
@@ -195,7 +211,7 @@ def learn(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, dict[int, np.
         bad = np.concatenate([t for _, t in seen[k]]) if seen[k] else np.zeros(0)
         unique, where, count = np.unique(value, return_inverse=True, return_counts=True)
         hits = np.bincount(where, weights=bad, minlength=len(unique))
-        learned[k] = unique[(hits >= LEAST_DOCS) & (hits >= LEAST_SHARE * count)]
+        learned[k] = unique[(hits >= LEAST_SHARE * count) & significant(hits, count, toxic.mean() if len(toxic) else 1.0)]
     stems = {k: learned[k] for k in STEMS}
     lexicon = Lexicon(learned[0], stems)
     weight = np.array([_PRIOR[x] for x in GRAMMAR.outputs])
@@ -247,10 +263,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     threats in its reach, targets aim insults and threats near them, and verbs of reporting quote
     what follows in the clause. A clause scores its strongest match. Insults and the weights of
     the outputs are learned from `labels` (doc_id, toxic), on TRAIN_DOCS labelled documents at
-    most, drawn by a hash of doc_id; all other words of the grammar are fixed.
+    most, drawn by a hash of doc_id; the common insults and all other words of the grammar are fixed.
 
     Null and empty texts score 0. Repeated rows and null doc_ids each give their row. Other columns
-    are ignored; without labels only threats can match.
+    are ignored; without labels the fixed insults and threats match.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
