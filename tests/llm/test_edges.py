@@ -54,11 +54,18 @@ def test_url_filter(spark):
 
 
 def test_simhash(edge, none):
-    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(edge).collect()}
-    assert got == {1: 1, 2: 1, 8: 8, 9: 8}
+    got = {r["doc_id"]: (r["group_id"], r["links"]) for r in simhash.near_duplicates(edge).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 8: (8, 1), 9: (8, 1)}
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_tells_texts_with_one_id_apart(spark):
+    a, b = PASSAGE, " ".join(f"beta{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (2, a), (4, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.near_duplicates(docs).collect()) == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 2, 1)]
+    assert sorted(map(tuple, simhash.stage(spark, docs, SMALL).collect())) == [(1, a), (2, b), (4, None)]
+
+
 def test_substring(edge, none):
     got = substring.repeated_passages(edge).collect()
     assert {r["doc_id"] for r in got} == {1, 2, 8, 9}

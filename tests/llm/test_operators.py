@@ -63,24 +63,69 @@ def test_url_filter_is_exact_beside_and_beyond_the_filter(spark):
     assert near.count() == pages.count() and near.filter("listed").count() > 0
 
 
-def test_simhash_groups_against_all_pairs(docs):
+def all_links(texts):
+    """(index, least index of its group, documents linked) by comparing all pairs of texts."""
+    prints = simhash.fingerprints(pa.array(texts, pa.string()))
+    full = prints.any(axis=1)
+    bits = sum(np.bitwise_count(prints[:, None, w] ^ prints[None, :, w]).astype(int) for w in range(simhash.LANES))
+    shared = sum((prints[:, None].view(np.uint8)[:, :, p] == prints[None].view(np.uint8)[:, :, p]).astype(int) for p in range(simhash.PLACES))
+    link = (bits <= simhash.VERIFY_BITS) & (shared >= simhash.MIN_SHARED) & full[:, None] & full
+    assert (shared[bits <= simhash.SURE_BITS] >= simhash.MIN_SHARED).all()
+    np.fill_diagonal(link, False)
+    least = np.arange(len(texts))
+    while True:  # least index over the links, until nothing changes
+        low = np.minimum(least, np.where(link, least[None], len(texts)).min(axis=1, initial=len(texts)))
+        if np.array_equal(low, least):
+            break
+        least = low
+    return {(i, int(least[i]), int(n)) for i, n in enumerate(link.sum(axis=1)) if n}
+
+
+@pytest.mark.parametrize("limits", [{}, {"pair_limit": 0}, {"block": 64}, {"block": 64, "pair_limit": 0}])
+def test_simhash_links_equal_all_pairs(docs, limits):
     local = docs.orderBy("doc_id").toArrow()
-    prints = simhash.fingerprints(local.column("text").combine_chunks())
     ids = local.column("doc_id").to_pylist()
-    group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
-    whole = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
-    first = np.bitwise_count(prints[:, None, 0] ^ prints[None, :, 0])
-    must = [(a, b) for a, b in itertools.combinations(range(len(ids)), 2) if first[a, b] <= 5 and whole[a, b] <= simhash.VERIFY_BITS]
-    assert must and all(group[ids[a]] == group[ids[b]] for a, b in must)
-    may = {i: {i} for i in range(len(ids))}
-    for a, b in itertools.combinations(range(len(ids)), 2):
-        if whole[a, b] <= simhash.VERIFY_BITS and may[a] is not may[b]:
-            may[a] |= may[b]
-            for x in may[a]:
-                may[x] = may[a]
-    index = {d: i for i, d in enumerate(ids)}
-    for d, g in group.items():
-        assert index[g] in may[index[d]] and g == min(x for x, y in group.items() if y == g)
+    want = {(ids[i], ids[g], n) for i, g, n in all_links(local.column("text").to_pylist())}
+    assert want and {tuple(r) for r in simhash.near_duplicates(docs, **limits).collect()} == want
+
+
+def near_copies(n, words=150, changed=8, copies=1):
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(n):
+        text = [f"w{k}" for k in range(words)]
+        for k in rng.integers(0, words, changed).tolist():
+            text[k] = f"x{i}y{k}"
+        texts += [" ".join(text)] * copies
+    return texts
+
+
+@pytest.mark.parametrize("limits", [{}, {"block": 128}, {"block": 128, "pair_limit": 0}])
+def test_simhash_links_in_lists_of_a_thousand(spark, limits):
+    """One cluster of near copies, so that lists are long and blocks of them meet; some exact copies."""
+    texts = near_copies(1000) + near_copies(100, changed=30, copies=2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in simhash.near_duplicates(df, **limits).collect()} == all_links(texts)
+
+
+def test_stars_keep_components():
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    root = np.arange(300)
+    for x, y in zip(a, b):
+        x, y = sorted((root[x], root[y]))
+        root[root == y] = x
+    left, right = simhash.stars(a, b)
+    assert dict(zip(left.tolist(), right.tolist())) == {i: int(r) for i, r in enumerate(root) if r != i}
+
+
+def test_every_choice_of_shared_bytes_meets_in_a_list():
+    rng = np.random.default_rng(8)
+    for size in (2, 3):
+        posted = {tuple(k) for k in simhash.kinds(size).tolist()}
+        for _ in range(300):
+            shared = np.sort(rng.choice(simhash.PLACES, simhash.MIN_SHARED, replace=False)).tolist()
+            assert any(c in posted for c in itertools.combinations(shared, size))
 
 
 def test_simhash_recall_of_all_pairs_within_verify_bits(spark):
@@ -96,58 +141,6 @@ def test_simhash_recall_of_all_pairs_within_verify_bits(spark):
     assert len(a) > 50 and np.mean(caught) >= 0.98
 
 
-def test_dense_lists_join_the_same_groups(spark):
-    rng = np.random.default_rng(2)
-    n = 3 * simhash.DENSE
-    prints = np.full(n, 0x0123456789ABCDEF, np.uint64) ^ (np.uint64(1) << rng.integers(24, 64, n).astype(np.uint64))
-    a, b = simhash.candidate_pairs(np.zeros(n, np.int64), np.arange(n), prints)
-    root = np.arange(n)
-    for x, y in zip(a, b):
-        root[root == root[y]] = root[x]
-    assert len(set(root.tolist())) == 1
-
-
-def test_dense_lists_keep_the_verified_components():
-    rng = np.random.default_rng(5)
-    n = 4 * simhash.DENSE
-    prints = np.repeat(rng.integers(0, 1 << 63, (n // 8, simhash.LANES)).astype(np.uint64), 8, axis=0)
-    for row in prints:
-        for bit in rng.integers(0, 256, 26).tolist():
-            row[bit // 64] ^= np.uint64(1 << bit % 64)
-    prints[:, 0] = (prints[:, 0] & np.uint64(0xFF000000)) | rng.integers(0, 256, n).astype(np.uint64)  # word 0 misleads
-
-    def roots(pairs):
-        root = np.arange(n)
-        for x, y in pairs:
-            root[root == root[y]] = root[x]
-        return [np.flatnonzero(root == r)[0] for r in root]
-
-    bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
-    want = roots(zip(*np.nonzero(np.triu(bits <= simhash.VERIFY_BITS, 1))))
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(np.arange(n)), *(pa.array(prints[:, i].view(np.int64)) for i in range(simhash.LANES))], ["list", "node", *(f"f{i}" for i in range(simhash.LANES))])
-    (out,) = simhash._forest_batches(iter([batch]))
-    a, b = (out.column(c).to_numpy() for c in "ab")
-    assert (bits[a, b] <= simhash.VERIFY_BITS).all() and roots(zip(a, b)) == want and 1 < len(set(want)) < n
-
-
-def test_simhash_posts_dense_lists_whole(spark):
-    """Groups of near copies in dense lists are those of all pairs."""
-    rng = np.random.default_rng(6)
-    texts = []
-    for i in range(100):
-        words = [f"w{k}" for k in range(150)]
-        for k in rng.integers(0, 150, 5).tolist():
-            words[k] = f"x{i}y{k}"
-        texts.append((i, " ".join(words)))
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    prints = simhash.fingerprints(pa.array([t for _, t in texts]))
-    bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
-    left, right = simhash._forest(prints)
-    joined = set(left.tolist()) | set(right.tolist())
-    assert joined == set(np.flatnonzero((bits <= simhash.VERIFY_BITS).sum(axis=1) > 1).tolist())
-    assert {r["doc_id"] for r in simhash.near_duplicates(df).collect()} == joined and len(joined) > simhash.DENSE
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 102), (102, 101)]
     got = dict(rows(components.components(spark.createDataFrame(edges, "a long, b long"))))
