@@ -88,6 +88,16 @@ def test_decontamination(spark, edge, none):
         assert decontaminate.contamination(edge, items(spark).limit(0), limit).count() == 0
 
 
+def test_decontamination_matches_each_text_by_itself(spark):
+    """Two texts with one id, each with half of an item: no text holds it, whatever else is listed."""
+    half = [" ".join(PASSAGE.split()[:30]), " ".join(PASSAGE.split()[30:])]
+    docs = spark.createDataFrame([(1, half[0]), (1, half[1]), (2, PASSAGE), (2, "other words here"), (2, PASSAGE)], "doc_id long, text string")
+    for listed in ([(1, PASSAGE)], [(1, PASSAGE), (2, "four words of prose")], [(1, PASSAGE), (1, "another text of the same item")]):
+        bench = spark.createDataFrame(listed, "item_id long, text string")
+        for limit in (decontaminate.VOCABULARY_LIMIT, 0):
+            assert [tuple(r) for r in decontaminate.contamination(docs, bench, limit).collect()] == [(2, 1, 1.0)]
+
+
 def test_quality(spark, edge, none):
     rules = quality_rules.quality(edge).collect()
     assert len(rules) == len(ROWS) and quality_rules.quality(none).count() == 0
@@ -113,6 +123,23 @@ def test_line_dedup(edge, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_tells_texts_with_one_id_apart(spark):
+    lines = lambda words: words.replace(" ", "\n")
+    docs = spark.createDataFrame([(1, lines("a b c")), (2, lines("a b c x")), (2, lines("u v w y")), (3, lines("u v w z")), (3, lines("u v w z"))], "doc_id long, text string")
+    got = sorted(tuple(r) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(1, lines("a b c"), 0), (2, lines("u v w y"), 0), (2, "x", 3), (3, "z", 3), (3, "z", 3)]
+
+
+def test_line_dedup_of_single_long_lines(spark):
+    long = " ".join(f"w{i}" for i in range(line_dedup.LONG_WORDS))
+    half = " ".join(f"v{i}" for i in range(line_dedup.LONG_WORDS // 2))
+    other = " ".join(f"u{i}" for i in range(line_dedup.LONG_WORDS - line_dedup.LONG_WORDS // 2))
+    texts = [long, f"a\n{long}\nb", f"{half}\n{other}", f"c\n\n {half}\n{other}\nd", f"{half}\nx", f"{long} more", long.replace(" ", "\t", 1), f"{long}\n{long}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in line_dedup.line_dedup(docs).orderBy("doc_id").collect()]
+    assert got == [long, "a\nb", texts[2], "c\n\nd", texts[4], texts[5], texts[6], ""]
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages(spark, edge, none, name, stage):
     last = name == corpus_pipeline.STAGES[-1][0]

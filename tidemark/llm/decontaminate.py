@@ -36,9 +36,10 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             count = np.bincount(row, minlength=part.num_rows)
             width = np.maximum(np.diff(words.ptr) - SHINGLE + 1, 0)
             item = part.column("item_id").to_numpy(zero_copy_only=False)
+            iid = part.column("iid").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(item[row].astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(count[row].astype(np.int32)), pa.array(width[row].astype(np.int32))],
-                ["item_id", "shingle", "distinct", "width"],
+                [pa.array(item[row].astype(np.int64)), pa.array(iid[row].astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(count[row].astype(np.int32)), pa.array(width[row].astype(np.int32))],
+                ["item_id", "iid", "shingle", "distinct", "width"],
             )
 
 
@@ -75,13 +76,13 @@ def _dense(pos: np.ndarray, row: np.ndarray, need: int, width: int) -> np.ndarra
 
 
 def _hits(shared, need: int, width: int) -> Callable:
-    """Rows (doc_id, shingle, pos) of benchmark shingles in documents; and with a null doc_id
+    """Rows (doc_id, tid, shingle, pos) of benchmark shingles in documents; and with a null doc_id
     (shingle, pos = number of documents that hold it), over every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(np.frombuffer(shared.value, np.uint64))
         spread = np.zeros(len(known.known), np.int64)
-        names = ["doc_id", "shingle", "pos"]
+        names = ["doc_id", "tid", "shingle", "pos"]
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 words = tk.Words(part.column("text"))
@@ -93,9 +94,10 @@ def _hits(shared, need: int, width: int) -> Callable:
                 spread += np.bincount(np.unique(row * len(spread) + index) % max(len(spread), 1), minlength=len(spread)) if len(spread) else 0
                 keep = _dense(at, row, need, width)
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row[keep]].astype(np.int64)), pa.array(hashes[keep].view(np.int64)), pa.array((at - words.ptr[row])[keep])], names)
+                tid = part.column("tid").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row[keep]].astype(np.int64)), pa.array(tid[row[keep]].astype(np.int64)), pa.array(hashes[keep].view(np.int64)), pa.array((at - words.ptr[row])[keep])], names)
         seen = np.flatnonzero(spread)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.array(known.known[seen].view(np.int64)), pa.array(spread[seen])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.int64()), pa.array(known.known[seen].view(np.int64)), pa.array(spread[seen])], names)
 
     return run
 
@@ -105,7 +107,10 @@ def _all_shingles(part: pa.RecordBatch) -> pa.RecordBatch:
     hashes, at = words.windows(SHINGLE)
     row = words.row()[at]
     doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-    return pa.RecordBatch.from_arrays([pa.array(doc[row].astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array((at - words.ptr[row]).astype(np.int64))], ["doc_id", "shingle", "pos"])
+    tid = part.column("tid").to_numpy(zero_copy_only=False)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[row].astype(np.int64)), pa.array(tid[row].astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array((at - words.ptr[row]).astype(np.int64))], ["doc_id", "tid", "shingle", "pos"]
+    )
 
 
 def _best_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,52 +131,64 @@ def _best_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low += 1
                 most = max(most, len(inside))
             best.append(most)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), batch.column("distinct"), pa.array(best, pa.int32())], ["doc_id", "item_id", "distinct", "shared"])
+        names = ["doc_id", "tid", "item_id", "distinct"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(best, pa.int32())], [*names, "shared"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, vocabulary_limit: int = VOCABULARY_LIMIT) -> DataFrame:
-    """Documents that hold benchmark items: (doc_id, item_id, containment), a row for each pair in
-    which some window of the document, as long as the item, holds at least THRESHOLD of the item's
-    distinct SHINGLE-word shingles; containment is the largest share over the windows.
-
-    Shingles are ordered by rarity, counted over all documents. An item with d distinct shingles
-    of which ceil(THRESHOLD d) are needed must share one of its d - need + 1 rarest with a match,
-    so only those prefixes join; shorter documents (length) and hits farther than an item from a
-    prefix hit (position) are cut before the exact window count verifies each pair. The benchmark's
-    shingles go to the workers if there are at most vocabulary_limit; else documents' shingles are
-    joined to them by a shuffle, with the same result.
-
-    Items of fewer than SHINGLE words, null texts and null ids match nothing. Repeated items or
-    documents with one id are taken together. Other columns are ignored; empty tables give no rows.
-    """
+def _matches(docs: DataFrame, benchmark: DataFrame, vocabulary_limit: int) -> DataFrame:
+    """(doc_id, tid, item_id, containment) for each text, told by doc_id and a hash (tid), and item."""
     spark = docs.sparkSession
     ship(spark)
+    row = ["doc_id", "tid"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    items = materialize(source.mapInArrow(_item_batches, "item_id long, shingle long, distinct int, width int").dropDuplicates(["item_id", "shingle"]), "items")
+    source = source.select("item_id", F.xxhash64("text").alias("iid"), "text")
+    items = materialize(source.mapInArrow(_item_batches, "item_id long, iid long, shingle long, distinct int, width int").distinct(), "items")
     facts = items.agg(F.countDistinct("shingle").alias("n"), F.min(F.ceil(F.col("distinct") * THRESHOLD - 1e-9)).alias("need"), F.max("width").alias("width")).first()
+    schema = "doc_id long, tid long, shingle long, pos long"
     if facts["n"] <= vocabulary_limit:
         known = np.sort(np.array([r[0] for r in items.select("shingle").distinct().collect()], np.int64).view(np.uint64))
         shared = spark.sparkContext.broadcast(known.tobytes())
-        found = materialize(texts.mapInArrow(_hits(shared, int(facts["need"] or 1), int(facts["width"] or 1)), "doc_id long, shingle long, pos long"), "hits")
+        found = materialize(texts.mapInArrow(_hits(shared, int(facts["need"] or 1), int(facts["width"] or 1)), schema), "hits")
         hits = found.filter("doc_id is not null")
         spread = found.filter("doc_id is null").groupBy("shingle").agg(F.sum("pos").alias("spread"))
     else:
-        every = texts.mapInArrow(tk.mapper(_all_shingles, "text"), "doc_id long, shingle long, pos long")
-        hits = materialize(every.join(items.select("shingle").distinct(), "shingle", "left_semi").select("doc_id", "shingle", "pos"), "hits")
-        spread = hits.groupBy("shingle").agg(F.countDistinct("doc_id").alias("spread"))
-    rarity = Window.partitionBy("item_id").orderBy(F.coalesce("spread", F.lit(0)), "shingle")
+        every = texts.mapInArrow(tk.mapper(_all_shingles, "text"), schema)
+        hits = materialize(every.join(items.select("shingle").distinct(), "shingle", "left_semi").select(*row, "shingle", "pos"), "hits")
+        spread = hits.groupBy("shingle").agg(F.count_distinct(*row).alias("spread"))
+    item = ["item_id", "iid", "distinct", "width"]
+    rarity = Window.partitionBy(*item).orderBy(F.coalesce("spread", F.lit(0)), "shingle")
     ranked = items.join(spread, "shingle", "left").withColumn("rank", F.row_number().over(rarity)).withColumn("need", F.ceil(F.col("distinct") * THRESHOLD - 1e-9))
-    prefix = ranked.filter(F.col("rank") <= F.col("distinct") - F.col("need") + 1).select("item_id", "shingle", "need")
-    length = hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"))
-    pairs = hits.join(prefix, "shingle").join(length, "doc_id").filter("n_hits >= need").groupBy("doc_id", "item_id").agg(F.collect_set("pos").alias("at"))
+    prefix = ranked.filter(F.col("rank") <= F.col("distinct") - F.col("need") + 1).select(*item, "shingle", "need")
+    length = hits.groupBy(*row).agg(F.count("*").alias("n_hits"))
+    pairs = hits.join(prefix, "shingle").join(length, row).filter("n_hits >= need").groupBy(*row, *item).agg(F.collect_set("pos").alias("at"))
     near = F.exists("at", lambda p: F.abs(p - F.col("pos")) < F.col("width"))
-    shared_hits = hits.join(pairs, "doc_id").join(items, ["item_id", "shingle"]).filter(near)
-    grouped = shared_hits.groupBy("doc_id", "item_id", "distinct", "width").agg(F.collect_list(F.struct("pos", "shingle")).alias("hits"))
+    shared_hits = hits.join(pairs, row).join(items, [*item, "shingle"]).filter(near)
+    grouped = shared_hits.groupBy(*row, *item).agg(F.collect_set(F.struct("pos", "shingle")).alias("hits"))
     enough = grouped.filter(F.size("hits") >= F.col("distinct") * THRESHOLD - 1e-9)
-    windows = enough.mapInArrow(_best_window, "doc_id long, item_id long, distinct int, shared int")
-    share = F.col("shared") / F.col("distinct")
-    return windows.filter(F.col("shared") >= F.col("distinct") * THRESHOLD - 1e-9).groupBy("doc_id", "item_id").agg(F.max(share).alias("containment"))
+    windows = enough.mapInArrow(_best_window, "doc_id long, tid long, item_id long, distinct int, shared int")
+    return windows.filter(F.col("shared") >= F.col("distinct") * THRESHOLD - 1e-9).select(*row, "item_id", (F.col("shared") / F.col("distinct")).alias("containment"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, vocabulary_limit: int = VOCABULARY_LIMIT) -> DataFrame:
+    """Documents that hold benchmark items: (doc_id, item_id, containment), a row for each pair in
+    which some window of the document, as long as the item, holds at least THRESHOLD of the item's
+    distinct SHINGLE-word shingles; containment is the largest share over the windows.
+
+    Shingles are ordered by rarity, counted over all documents. An item with d distinct shingles
+    of which ceil(THRESHOLD d) are needed must share one of its d - need + 1 rarest with a match,
+    so only those prefixes join; shorter documents (length) and hits farther than an item from a
+    prefix hit (position) are cut before the exact window count verifies each pair. The benchmark's
+    shingles go to the workers if there are at most vocabulary_limit; else documents' shingles are
+    joined to them by a shuffle, with the same result.
+
+    Items of fewer than SHINGLE words, null texts and null ids match nothing. Each text is matched
+    by itself: of several texts with one doc_id, or items with one item_id, the largest share counts;
+    repeated rows change nothing. Texts of any length are read whole. Other columns are ignored;
+    empty tables give no rows.
+    """
+    return _matches(docs, benchmark, vocabulary_limit).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +196,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; rows are told apart by doc_id and text."""
+    hit = _matches(docs, table(spark, sf_dir, "benchmark"), VOCABULARY_LIMIT).select(F.col("doc_id").alias("hit_doc"), F.col("tid").alias("hit_tid")).distinct()
+    at = (docs["doc_id"].cast("long") == F.col("hit_doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("hit_tid"))
+    return docs.join(hit, at, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = f"""

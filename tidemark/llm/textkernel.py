@@ -105,12 +105,6 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
 
-    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the first `size` bytes of words, and which words are longer than that."""
-        longer = self.end - self.start > size
-        start = self.start[longer]
-        return _spans(_prefix(_BYTES[self.data], _P), start, start + size, _P), longer
-
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of `size` words within one row, and the word each starts at."""
         return windows(self.hash, self.ptr, size)
@@ -180,6 +174,13 @@ class Lines:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.start, self.end)
 
+    def words(self) -> np.ndarray:
+        """How many words, parted by white space, each line has."""
+        begins = ~((self.data == 32) | (self.data == 9) | (self.data == 13) | (self.data == 10))
+        begins[1:] &= ~begins[:-1]
+        begins[self.start[~self.blank]] = True
+        return group_sums(begins, self.start, self.end)
+
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
 
