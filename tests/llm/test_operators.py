@@ -225,7 +225,7 @@ def test_grammar_scores_clauses_not_words():
     lexicon = toxicity.Lexicon(insult, {})
 
     def said(text):
-        _, _, out, _ = toxicity.matches(pa.array([text]), lexicon)
+        _, _, out, _, _ = toxicity.matches(pa.array([text]), lexicon)
         return [toxicity.GRAMMAR.outputs[x] for x in out]
 
     assert "aimed insult" in said("you are a moron")
@@ -235,6 +235,54 @@ def test_grammar_scores_clauses_not_words():
     assert "aimed threat" in said("i will kill you")
     assert said("the frost will kill the crops") == ["threat"]
     assert said("you are kind. the frost came") == []
+    for text in ('she said: "you are a moron"', "she said, you are a moron", "elle dit : \u00ab you are a moron \u00bb", 'he wrote "late, you are a moron, late"'):
+        assert set(said(text)) == {"quoted"}, text
+    assert "aimed insult" in said('she said "hello" and you are a moron') and "aimed insult" in said("she said so, you moron")
+    assert "aimed insult" in said('she said: "you are late". you are a moron')
+    assert said("you aren't a moron") == said("you aren\u2019t a moron") == said("tu n'es pas moron") == ["denied"]
+    assert "aimed threat" in said("he is killing you")
+
+
+def test_toxicity_against_brute_force(spark, docs):
+    """Every word, break and mark of every text through the three machines one after another."""
+    import re
+
+    fixed = {w: name for name, text in toxicity._WORDS.items() for w in text.split()}
+    texts = docs.select("doc_id", "text").toPandas()
+    extra = ["she said: \"you are an idiot\", you moron", "you aren't stupid, you idiot", "kill. you", "I will kill you; not an idiot you scum", "dit, \u00absalope\u00bb idiot you", None, ""]
+    rows_ = [(int(a), b) for a, b in zip(texts["doc_id"], texts["text"])] + [(10_000 + i, t) for i, t in enumerate(extra)]
+
+    def brute(text):
+        text = re.sub("[\u201c\u201d\u201e\u00ab\u00bb]", '"', text or "").replace("\u2019", "'").lower()
+        calm, clauses = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", text):
+            tokens = []
+            for x in re.finditer(r"[^\x00-/:-`{-\x7f]+|[,;:\"]", sentence):
+                w = x.group()
+                if w in ",;:":
+                    tokens.append("break")
+                elif w == '"':
+                    tokens.append("quote")
+                elif (w == "t" and sentence[: x.start()].endswith("n'")) or (w == "n" and sentence[x.end() :].startswith("'")):
+                    tokens.append("negation")
+                else:
+                    tokens.append(fixed.get(w, "other"))
+            machines = [toxicity.negation(), toxicity.aim(), toxicity.report()]
+            state, best = [m.start for m in machines], 0.0
+            for x in [*tokens, "break"]:
+                cost, broke = 0.0, x == "break"
+                for i, m in enumerate(machines):
+                    state[i], x, c = m.step(state[i], x)
+                    cost += c
+                if x != "none":
+                    best = max(best, np.exp(-cost))
+                if broke and best:
+                    calm, clauses, best = calm * (1 - best), clauses + 1, 0.0
+        return 1 - calm, clauses
+
+    got = {r["doc_id"]: (r["toxicity"], r["clauses"]) for r in toxicity.score(spark.createDataFrame(rows_, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")).collect()}
+    want = {d: brute(t) for d, t in rows_}
+    assert all(got[d][1] == want[d][1] and abs(got[d][0] - want[d][0]) < 1e-9 for d in want) and sum(n > 0 for _, n in want.values()) > 8
 
 
 def test_composition_equals_cascade():
@@ -243,11 +291,11 @@ def test_composition_equals_cascade():
     for word in itertools.product(range(len(toxicity.SYMBOLS)), repeat=4):
         s, t, want = a.start, b.start, []
         for x in word:
-            s, middle = a.step(s, toxicity.SYMBOLS[x])
-            t, out = b.step(t, middle)
-            want.append(out)
-        got = wfst.run(joined, np.array(word), np.array([0, 4]))
-        assert [joined.outputs[x] for x in got] == want
+            s, middle, cost = a.step(s, toxicity.SYMBOLS[x])
+            t, out, more = b.step(t, middle)
+            want.append((out, cost + more))
+        got, cost = wfst.run(joined, np.array(word), np.array([0, 4]))
+        assert [(joined.outputs[x], c) for x, c in zip(got, cost)] == want
 
 
 def test_toxicity_held_out(spark):

@@ -7,6 +7,7 @@ from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,63 +22,84 @@ STEMS = (4, 5, 6, 7)  # bytes of word beginnings that may be insults
 SCOPE = 3  # words that negation and targets reach
 TOXIC = 0.5
 
-SYMBOLS = ["other", "insult", "threat", "target", "negation", "report"]
+SYMBOLS = ["other", "insult", "threat", "target", "negation", "report", "break", "quote"]
 _WORDS = {
     "insult": "idiot idiots moron morons loser losers scum stupid imbecile imbeciles pathetic worthless disgusting dumbass asshole bastard bitch retard dimwit idiotin idioten dummkopf trottel vollidiot arschloch schlampe abschaum versager depp wichser hurensohn connard connasse salaud salope imbécile imbéciles crétin crétine abruti abrutie ordure idiote idiota idiotas imbécil estúpido estúpida gilipollas cabrón pendejo escoria",
-    "threat": "kill hurt destroy murder stab shoot beat töten umbringen schlagen vernichten tuer frapper détruire buter matar golpear destruir herir",
+    "threat": "kill killing hurt hurting destroy destroying murder murdering stab stabbing shoot shooting beat beating strangle töten töte umbringen schlagen schlage vernichten vernichte tuer tuerai frapper frapperai détruire détruirai buter matar mataré golpear golpearé destruir destruiré herir",
     "target": "you your yours yourself u du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre tú ti tus vosotros usted ustedes vuestro",
-    "negation": "not never no without isn't aren't nicht kein keine niemals nie ne jamais sans aucun nunca jamás sin tampoco ningún",
-    "report": "said says wrote quoted called claimed reported allegedly sagte sagt schrieb behauptete zitierte angeblich dit écrit prétend selon dijo dice escribió según afirmó",
+    "negation": "not never no without cannot nicht kein keine niemals nie ne jamais sans aucun nunca jamás sin tampoco ningún",
+    "report": "said says saying say wrote writes quoted quotes called claimed claims reported reports replied shouted allegedly sagte sagt schrieb schreibt behauptete zitierte rief angeblich dit écrit prétend cria répondit selon dijo dice escribió gritó según afirmó",
 }
-#: Share of toxic documents among those in which this is the strongest match, before labels say.
-_PRIOR = {"insult": 0.7, "aimed insult": 0.95, "aimed threat": 0.95, "threat": 0.1, "denied": 0.2, "quoted": 0.3, "none": 0.0}
+#: Probabilities that the arcs of the grammar multiply along a path, before labels say more.
+_ARC = {"match": 0.95, "unaimed insult": 0.74, "unaimed threat": 0.1, "denied": 0.2, "quoted": 0.3}
+_COST = {k: -log(v) for k, v in _ARC.items()}
 _PRIOR_DOCS = 5
+_MATCHED = ("insult", "aimed insult", "threat", "aimed threat", "denied")
 
 
 def negation() -> wfst.Transducer:
-    """Insults and threats within SCOPE words after a negation come out denied."""
+    """Insults and threats within SCOPE words of the clause after a negation come out denied."""
 
-    def step(left: int, x: str) -> tuple[int, str]:
+    def step(left: int, x: str) -> tuple[int, str, float]:
         if x == "negation":
-            return SCOPE, x
-        return max(left - 1, 0), "denied" if left and x in ("insult", "threat") else x
+            return SCOPE, x, 0.0
+        if x == "break":
+            return 0, x, 0.0
+        denied = bool(left) and x in ("insult", "threat")
+        return max(left - (x != "quote"), 0), "denied" if denied else x, _COST["denied"] if denied else 0.0
 
     return wfst.Transducer(0, step)
 
 
 def aim() -> wfst.Transducer:
-    """An insult near a target, or a threat before one, comes out aimed; where the target comes
-    second, it is the target that does."""
-
-    def step(state: tuple[int, int, int], x: str) -> tuple[tuple[int, int, int], str]:
+    """An insult near a target of its clause, or a threat before one, comes out aimed; where the
+    target comes second, it is the target that does."""
+
+    def step(state: tuple[int, int, int], x: str) -> tuple[tuple[int, int, int], str, float]:
+        if x == "break":
+            return (0, 0, 0), x, 0.0
+        if x == "quote":
+            return state, x, 0.0
         target, insult, threat = state
         calm = (max(target - 1, 0), max(insult - 1, 0), max(threat - 1, 0))
         if x == "target":
-            out = "aimed threat" if threat else "aimed insult" if insult else "none"
-            return (SCOPE, 0, 0), out
+            out = "aimed threat" if threat else "aimed insult" if insult else "other"
+            return (SCOPE, 0, 0), out, _COST["match"] if out != "other" else 0.0
         if x == "insult":
-            return (calm[0], 0 if target else SCOPE, calm[2]), "aimed insult" if target else "insult"
+            aimed = "aimed insult" if target else "insult"
+            return (calm[0], 0 if target else SCOPE, calm[2]), aimed, _COST["match"] + (0.0 if target else _COST["unaimed insult"])
         if x == "threat":
-            return (calm[0], calm[1], SCOPE), "threat"
-        return calm, x
+            return (calm[0], calm[1], SCOPE), "threat", _COST["match"] + _COST["unaimed threat"]
+        return calm, x, _COST["match"] if x == "denied" else 0.0
 
     return wfst.Transducer((0, 0, 0), step)
 
 
 def report() -> wfst.Transducer:
-    """Matches after a verb of reporting come out quoted."""
+    """Matches after a verb of reporting come out quoted: to the end of the clause, to the end of
+    the next one if the verb ends its own ("she said: ..."), and to the closing mark if a quotation
+    opens. State: (0 none, 1 just after the verb, 2 later; whether a reported quotation is open)."""
 
-    def step(quoting: bool, x: str) -> tuple[bool, str]:
+    def step(state: tuple[int, bool], x: str) -> tuple[tuple[int, bool], str, float]:
+        said, opened = state
         if x == "report":
-            return True, "none"
-        if x in ("insult", "aimed insult", "threat", "aimed threat", "denied"):
-            return quoting, "quoted" if quoting else x
-        return quoting, "none"
+            return (1, opened), "none", 0.0
+        if x == "quote":
+            return ((0, False) if opened else (2, True) if said else (0, False)), "none", 0.0
+        if x == "break":
+            # "said:" reaches over its break, as does a quotation that opens right after it
+            return (1 if said == 1 else 0, opened), "none", 0.0
+        quoting = opened or said > 0
+        to = (2 if said else 0, opened)
+        if x in _MATCHED:
+            return to, "quoted" if quoting else x, _COST["quoted"] if quoting else 0.0
+        return to, "none", 0.0
 
-    return wfst.Transducer(False, step)
+    return wfst.Transducer((0, False), step)
 
 
 GRAMMAR = wfst.compile_tables(negation().then(aim()).then(report()), SYMBOLS)
+_BREAK, _QUOTE = SYMBOLS.index("break"), SYMBOLS.index("quote")
 
 
 class Lexicon:
@@ -104,6 +126,13 @@ class Lexicon:
             at = np.minimum(np.searchsorted(known, prefix), len(known) - 1)
             where = where[known[at] == prefix]
             out[where[out[where] == 0]] = 1
+        # contractions fall into words at the apostrophe: n't and n' deny
+        data, start, end = words.data, words.start, words.end
+        single = np.flatnonzero(end - start == 1)
+        t = single[(data[start[single]] == ord("t")) & (start[single] > 1)]
+        out[t[(data[start[t] - 1] == ord("'")) & (data[start[t] - 2] == ord("n"))]] = SYMBOLS.index("negation")
+        n = single[(data[start[single]] == ord("n")) & (end[single] < len(data))]
+        out[n[data[end[n]] == ord("'")]] = SYMBOLS.index("negation")
         return out
 
 
@@ -117,34 +146,50 @@ def begins(words: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value, where
 
 
-def clauses(words: tk.Words) -> np.ndarray:
-    """Starts of the clauses among the words: a text begins one, and so does a word after
-    punctuation that ends a clause, or after a line's end."""
-    data = words.data
-    stop = np.isin(data, np.frombuffer(b".,;:!?\n", np.uint8))
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(stop, out=total[1:])
+def sentences(words: tk.Words) -> np.ndarray:
+    """Starts of the sentences among the words: a text begins one, and so does a word after
+    punctuation that ends a sentence, or after a line's end."""
+    total = np.zeros(len(words.data) + 1, np.int64)
+    np.cumsum(np.isin(words.data, np.frombuffer(b".!?\n", np.uint8)), out=total[1:])
     fresh = np.ones(len(words.start), bool)
     fresh[1:] = total[words.start[1:]] > total[words.end[:-1]]
     fresh[words.ptr[:-1][np.diff(words.ptr) > 0]] = True
     return np.flatnonzero(fresh)
 
 
-def matches(col: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(row, clause, output of the grammar) for each match, and the number of rows. Only clauses
-    with an insult or a threat are run."""
-    words = tk.Words(col)
+def plain_marks(col: pa.Array) -> pa.Array:
+    """Typographic quotation marks and apostrophes as ASCII ones, so that they aren't parts of words."""
+    return pc.replace_substring_regex(pc.replace_substring_regex(col, "[\u201c\u201d\u201e\u00ab\u00bb]", '"'), "\u2019", "'")
+
+
+def matches(col: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, clause, output of the grammar, probability by its arcs) for each match, and the number
+    of rows. The grammar reads sentences: their words, the breaks between clauses and quotation
+    marks. Only sentences with an insult or a threat are run."""
+    words = tk.Words(plain_marks(col))
     symbol = lexicon.symbols(words)
-    start = clauses(words)
+    rows = len(words.ptr) - 1
+    start = sentences(words)
     trigger = np.flatnonzero((symbol == 1) | (symbol == 2))
     active = np.unique(np.searchsorted(start, trigger, "right") - 1)
     first = start[active]
     size = np.append(start, len(symbol))[active + 1] - first
     at = tk.ranges(first, size)
-    out = wfst.run(GRAMMAR, symbol[at], np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
-    found = out != GRAMMAR.outputs.index("none")
-    place = at[found]
-    return np.searchsorted(words.ptr, place, "right") - 1, np.repeat(active, size)[found], out[found], len(words.ptr) - 1
+    # marks between the sentence's words, and before its first one as far as the word before
+    marks = np.flatnonzero(np.isin(words.data, np.frombuffer(b",;:\"", np.uint8)))
+    lead = np.where(first > 0, words.end[first - 1], 0)
+    lead = np.maximum(lead, words.off[np.searchsorted(words.ptr, first, "right") - 1])
+    lo, hi = np.searchsorted(marks, lead), np.searchsorted(marks, words.start[first + size - 1] if len(first) else lead)
+    mark = tk.ranges(lo, hi - lo)
+    kind = np.where(words.data[marks[mark]] == ord('"'), _QUOTE, _BREAK)
+    order = np.argsort(np.concatenate([words.start[at], marks[mark]]), kind="stable")
+    token = np.concatenate([symbol[at], kind])[order]
+    place = np.concatenate([at, np.full(len(mark), -1)])[order]
+    string = np.concatenate([np.repeat(np.arange(len(first)), size), np.repeat(np.arange(len(first)), hi - lo)])[order]
+    out, cost = wfst.run(GRAMMAR, token, np.searchsorted(string, np.arange(len(first) + 1)))
+    clause = np.cumsum(token == _BREAK) + string
+    found = np.flatnonzero(out != GRAMMAR.outputs.index("none"))
+    return np.searchsorted(words.ptr, place[found], "right") - 1, clause[found], out[found], np.exp(-cost[found]), rows
 
 
 def distinct(texts: pa.Array) -> np.ndarray:
@@ -187,8 +232,9 @@ def learn(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, dict[int, np.
     """Insults, insulting stems by their bytes, and the grammar's weights, from labelled texts.
 
     An insult is a word, or a word beginning of STEMS bytes, of whose texts LEAST_SHARE are toxic
-    and that stands out by significant(). The weight of an output is the share of toxic texts
-    among those where it is the strongest match, drawn towards _PRIOR by _PRIOR_DOCS texts."""
+    and that stands out by significant(). The weight of an output scales the probability by its arcs:
+    the share of toxic texts among those where it is the strongest match, over what the arcs say,
+    drawn towards one by _PRIOR_DOCS texts."""
     alone = distinct(texts)  # the words of a toxic text that was copied often aren't insults
     texts, toxic = texts.filter(pa.array(alone)), toxic[alone]
     kinds = (0, *STEMS)
@@ -214,20 +260,18 @@ def learn(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, dict[int, np.
         learned[k] = unique[(hits >= LEAST_SHARE * count) & significant(hits, count, toxic.mean() if len(toxic) else 1.0)]
     stems = {k: learned[k] for k in STEMS}
     lexicon = Lexicon(learned[0], stems)
-    weight = np.array([_PRIOR[x] for x in GRAMMAR.outputs])
-    n, hit = np.zeros(len(weight)), np.zeros(len(weight))
-    rank = np.argsort(np.argsort(weight))
+    n, hit, said = (np.zeros(len(GRAMMAR.outputs)) for _ in range(3))
     base = 0
     for part in tk.slices(batch, "text"):
-        row, _, out, rows = matches(part.column("text"), lexicon)
-        best = np.full(rows, -1)
-        np.maximum.at(best, row, rank[out])
-        has = best >= 0
-        top = np.argsort(rank)[best[has]]
-        np.add.at(n, top, 1)
-        np.add.at(hit, top, toxic[base : base + rows][has])
+        row, _, out, chance, rows = matches(part.column("text"), lexicon)
+        order = np.lexsort((-chance, row))
+        best = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+        np.add.at(n, out[best], 1)
+        np.add.at(hit, out[best], toxic[base : base + rows][row[best]])
+        np.add.at(said, out[best], chance[best])
         base += rows
-    return learned[0], stems, np.where(weight > 0, (hit + _PRIOR_DOCS * weight) / (n + _PRIOR_DOCS), 0.0)
+    usual = np.where(n > 0, said / np.maximum(n, 1), 1.0)
+    return learned[0], stems, (hit / usual + _PRIOR_DOCS) / (n + _PRIOR_DOCS)
 
 
 def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,14 +286,15 @@ def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _score(lexicon: Lexicon, weight: np.ndarray) -> Callable:
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        row, clause, out, rows = matches(part.column("text"), lexicon)
+        row, clause, out, chance, rows = matches(part.column("text"), lexicon)
         # a clause scores its best match; a text, the chance that one of its clauses is toxic
-        order = np.lexsort((-weight[out], clause))
-        row, clause, value = row[order], clause[order], weight[out][order]
+        value = np.minimum(chance * weight[out], 0.999999)
+        order = np.lexsort((-value, clause))
+        row, clause, value = row[order], clause[order], value[order]
         first = np.ones(len(row), bool)
         first[1:] = clause[1:] != clause[:-1]
         row, value = row[first], value[first]
-        calm = np.bincount(row, weights=np.log1p(-np.minimum(value, 0.999999)), minlength=rows)
+        calm = np.bincount(row, weights=np.log1p(-value), minlength=rows)
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 - np.exp(calm)), pa.array(np.bincount(row, minlength=rows).astype(np.int32))], ["doc_id", "toxicity", "clauses"])
 
     return tk.mapper(one, "text")
@@ -259,24 +304,29 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxicity, clauses, toxic) for every document: the probability that one of its
     clauses is toxic, how many clauses matched the grammar, and toxicity >= TOXIC.
 
-    The grammar composes three transducers over classes of words: negation denies insults and
-    threats in its reach, targets aim insults and threats near them, and verbs of reporting quote
-    what follows in the clause. A clause scores its strongest match. Insults and the weights of
-    the outputs are learned from `labels` (doc_id, toxic), on TRAIN_DOCS labelled documents at
-    most, drawn by a hash of doc_id; the common insults and all other words of the grammar are fixed.
-
-    Null and empty texts score 0. Repeated rows and null doc_ids each give their row. Other columns
-    are ignored; without labels the fixed insults and threats match.
+    The grammar composes three weighted transducers over classes of words, clause breaks and
+    quotation marks: negation denies insults and threats in its reach, targets aim insults and
+    threats near them, and verbs of reporting quote what follows, over a colon and to the closing
+    mark. Arcs have probabilities that multiply along a path. A clause scores its strongest match.
+    Insults and a factor for each output are learned from `labels` (doc_id, toxic), on TRAIN_DOCS
+    labelled documents at most, drawn by a hash of doc_id; the common insults and all other words of
+    the grammar are fixed. A document labelled more than once counts as toxic if any label says so;
+    of several texts with one doc_id the one of the least hash is learned from.
+
+    Null and empty texts score 0. Repeated rows and null doc_ids each give their row; texts of any
+    length are read whole. Other columns are ignored; without labels the fixed insults and threats
+    match; an empty table of documents gives no rows.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).dropna().dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = texts.filter("text is not null").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    labelled = texts.filter("text is not null").join(F.broadcast(drawn), "doc_id")
+    rows = labelled.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic"))
     # one task learns, so that the driver never holds the texts
     learned = rows.repartition(1).mapInArrow(_learn_batches, "size int, known binary, weight binary").collect()
     known = {r["size"]: np.frombuffer(r["known"], np.uint64) for r in learned}
-    weight = np.frombuffer(learned[0]["weight"]) if learned else np.array([_PRIOR[x] for x in GRAMMAR.outputs])
+    weight = np.frombuffer(learned[0]["weight"]) if learned else np.ones(len(GRAMMAR.outputs))
     lexicon = Lexicon(known.pop(0, np.zeros(0, np.uint64)), known)
     return texts.mapInArrow(_score(lexicon, weight), "doc_id long, toxicity double, clauses int").withColumn("toxic", F.col("toxicity") >= TOXIC)
 
