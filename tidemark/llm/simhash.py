@@ -16,7 +16,7 @@ from tidemark.runtime import materialize, ship, table
 
 LANES = 4  # 64-bit words of the fingerprint
 PLACES = 8 * LANES  # positional bytes
-SURE_BITS = 24  # two fingerprints within so many bits share MIN_SHARED positional bytes at least
+SURE_BITS = 23  # two fingerprints within so many bits share MIN_SHARED positional bytes at least
 MIN_SHARED = PLACES - SURE_BITS
 VERIFY_BITS = 40  # most differing bits of a link
 PAIR_LIMIT = 1 << 26  # distinct fingerprints from which lists are keyed by three bytes instead of two
