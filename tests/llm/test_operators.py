@@ -178,6 +178,46 @@ def test_sentencepiece_hard_texts(text):
     assert list(sentencepiece_tokens.codec(data).encode([text])[0]) == sp.encode(text)
 
 
+def unigram_model(data):
+    """A unigram model's protobuf with the pieces of a BPE file, scored by their rank and length."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda number, value: varint(number << 3 | 2) + varint(len(value)) + value
+    number = lambda n, value: varint(n << 3) + varint(value)
+    m = sentencepiece_tokens.parse(data)
+    out = b""
+    for i, (p, k) in enumerate(zip(m.pieces, m.kinds)):
+        score = -np.log(i + 2.0) - 0.01 * len(p) if k == sentencepiece_tokens.NORMAL else 0.0
+        out += field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + number(3, k))
+    return out + field(2, number(3, 1) + number(35, 1)) + field(3, number(3, 1) + number(4, 0) + number(5, 1))
+
+
+def test_unigram_parity_is_of_whole_texts(docs):
+    import sentencepiece
+
+    with open(sentencepiece_tokens.MODEL, "rb") as f:
+        data = unigram_model(f.read())
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    ids, ends, parity = sentencepiece_tokens.Codec(data).encode(texts)
+    own = [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert [a == b for a, b in zip(own, sp.encode(texts))] == parity.tolist() and parity.mean() > 0.9
+
+
+def test_parity_is_false_where_ids_differ(docs):
+    with open(sentencepiece_tokens.MODEL, "rb") as f:
+        c = sentencepiece_tokens.Codec(f.read())
+    c.reference = type("Other", (), {"encode": lambda self, texts, num_threads: [[0]] * len(texts)})()
+    _, _, parity = c.encode(["some words", "", "more"])
+    assert parity.tolist() == [False, True, False]
+
+
 def test_decontamination_against_sql_and_without_broadcast(spark, docs):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     cut = lambda df: sorted((r["doc_id"], r["item_id"], round(r["containment"], 9)) for r in df.collect())
@@ -201,6 +241,67 @@ def test_expectation_maximisation_finds_accuracies():
     assert p[0] > 0.9 and p[1] < 0.1 and abs(p[2] - share[0]) < 1e-9 and (accuracy[0] > 0.9).all()
 
 
+def test_quality_rules_against_brute_force(spark, docs):
+    """The query over documents one by one: the model's equations in plain loops, no patterns."""
+    local = docs.orderBy("doc_id").limit(60).select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    ids, texts = zip(*[tuple(r) for r in local.collect()])
+    vote = [[int(v) for v in quality_rules.votes(pa.array([t], pa.string()))[0]] for t in texts]
+    kinds, n = list(quality_rules.KINDS.values()), len(quality_rules.RULES)
+    hope = [[0.99] * n] + [[0.3 if r in k else 0.8 for r in quality_rules.RULES] for k in kinds]
+    accuracy, c = [list(h) for h in hope], 1 + len(kinds)
+    p = []
+    for v in vote:
+        raw = [0.2] + [sum(v[quality_rules.RULES.index(r)] == -1 for r in k) / len(k) + 0.002 for k in kinds]
+        p.append([x / sum(raw) for x in raw])
+    for _ in range(quality_rules._ROUNDS):
+        fresh = [[0.0] * n for _ in range(c)]
+        for k in range(c):
+            for r in range(n):
+                good = sum(q[k] for q, v in zip(p, vote) if v[r] == 1)
+                said = sum(q[k] for q, v in zip(p, vote) if v[r] != 0)
+                fresh[k][r] = min(max((good + hope[k][r]) / (said + 1), 1e-4), 1 - 1e-4)
+        share = [(sum(q[k] for q in p) + 1) / (len(vote) + c) for k in range(c)]
+        moved = max(abs(fresh[k][r] - accuracy[k][r]) for k in range(c) for r in range(n))
+        accuracy, p = fresh, []
+        for v in vote:
+            odds = [share[k] * np.prod([accuracy[k][r] if x == 1 else 1 - accuracy[k][r] if x == -1 else 1.0 for r, x in enumerate(v)]) for k in range(c)]
+            p.append([o / sum(odds) for o in odds])
+        if moved < quality_rules._TOLERANCE:
+            break
+    got = {r["doc_id"]: (r["p_quality"], r["keep"]) for r in quality_rules.quality(local).collect()}
+    assert all(abs(got[i][0] - q[0]) < 1e-9 and got[i][1] == (q[0] >= quality_rules.KEEP) for i, q in zip(ids, p)) and len(got) == len(ids)
+
+
+def test_quality_classifier_against_enumeration(spark, docs):
+    """The query's result for texts of few lines: every labelling of the lines, weighed by its score."""
+    labels_ = spark.read.parquet(f"{SMALL}/labels.parquet")
+    weight, pair = quality_crf.train(docs, labels_)
+    got = {r["doc_id"]: r["quality"] for r in quality_crf.classify(docs, labels_).collect()}
+    seen = 0
+    for r in docs.collect():
+        x, ptr, length = quality_crf.line_features(pa.array([r["text"]]))
+        if not 0 < len(x) <= 8:
+            continue
+        unary, total, mass = x @ weight, 0.0, np.zeros(len(x))
+        for y in itertools.product((0, 1), repeat=len(x)):
+            w = np.exp(sum(u for u, v in zip(unary, y) if v) + sum(pair[a, b] for a, b in zip(y, y[1:])))
+            total, mass = total + w, mass + w * np.array(y)
+        assert abs(got[r["doc_id"]] - (mass / total * length).sum() / max(length.sum(), 1)) < 1e-6
+        seen += 1
+    assert seen > 50
+
+
+def test_repeated_labels_have_a_winner(spark):
+    docs = spark.createDataFrame([(i, f"line {i}\n" * (1 + i % 3)) for i in range(20)] + [(3, "another text")], "doc_id long, text string")
+    once = [(i, i % 2, i % 2) for i in range(20)]
+    schema = "doc_id long, quality int, toxic int"
+    for more in ([(5, 0, 1), (5, 1, 1)], [(5, 1, 1), (5, 0, 1)]):
+        low = spark.createDataFrame([x for x in once if x[0] != 5] + [(5, 0, 1)], schema)
+        many = spark.createDataFrame(once + more, schema)
+        assert rows(quality_crf.classify(docs, many)) == rows(quality_crf.classify(docs, low))
+        assert rows(toxicity.score(docs, many)) == rows(toxicity.score(docs, low))
+
+
 def test_crf_marginals_against_enumeration():
     rng = np.random.default_rng(3)
     unary, pair, ptr = rng.normal(size=6), rng.normal(size=(2, 2)), np.array([0, 4, 4, 6])

@@ -50,11 +50,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[n
     """Weights of a CRF in which each line of a labelled document has the document's label.
 
     Fitted on `most` labelled documents at most, drawn by a hash of doc_id; without labels of both
-    kinds the weights are zero, so that every line is as likely good as bad."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"])
+    kinds the weights are zero, so that every line is as likely good as bad. Of several labels of
+    a document the lowest counts, of several texts with one doc_id the one of the least hash."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    labelled = texts.join(F.broadcast(drawn), "doc_id")
+    rows = labelled.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("quality").alias("quality"))
     # one task fits the model, so that the driver never holds the texts
     fitted = rows.repartition(1).mapInArrow(_fit_batches, "weight array<double>, pair array<double>").first()
     if fitted is None:
@@ -102,7 +104,8 @@ def classify(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None)
     forward-backward over all lines of a document.
 
     Null, empty and white-space-only texts have no line, quality 0 and aren't kept. Repeated rows
-    and null doc_ids each give their row. Other columns are ignored.
+    and null doc_ids each give their row; texts of any length are read whole. Other columns are
+    ignored; an empty table of documents gives no rows.
     """
     ship(docs.sparkSession)
     weight, pair = train(docs if known is None else known, labels)

@@ -119,11 +119,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
     Votes are counted by pattern over all documents (there are at most 3^10 patterns, whatever the
     size of the corpus); expectation-maximisation over the patterns gives the share of good
-    documents and of each kind of bad ones, and each rule's accuracy in each; each document gets the posterior probability of its
-    pattern and is kept from KEEP on. No rule alone rejects.
+    documents and of each kind of bad ones, and each rule's accuracy in each; each document gets
+    the posterior probability of its pattern and is kept from KEEP on. No rule alone rejects.
 
     Null, empty and very short texts get only abstentions, so the prior is their probability.
-    Repeated rows and null doc_ids each give their row. Other columns are ignored.
+    Repeated rows and null doc_ids each give their row and count each; texts of any length are read
+    whole. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -161,8 +161,12 @@ class Codec:
         self.same = np.concatenate([self.same, np.array(same, bool)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, ends, parity): text i has ids[ends[i-1]:ends[i]]; parity: all its chunks encode as
-        the sentencepiece library encodes them."""
+        """(ids, ends, parity): text i has ids[ends[i-1]:ends[i]]; parity: the sentencepiece library
+        gives the same ids.
+
+        Merges never look beyond a chunk, so a BPE text whose chunks all encode alike does so too.
+        Unigram scores add up over a whole text, where rounding and ties may fall otherwise than in
+        a chunk by itself; those texts, and BPE texts with an odd chunk, are compared whole."""
         if len(self.code) > CACHED:
             self._reset()
         cut = [self.chunks(self.normalise(t)) for t in texts]
@@ -176,7 +180,14 @@ class Codec:
         ptr = np.concatenate([[0], np.cumsum(count)])
         sized = np.concatenate([[0], np.cumsum(self.size[code])])
         odd = np.concatenate([[0], np.cumsum(~self.same[code])])
-        return ids, sized[ptr[1:]], odd[ptr[1:]] == odd[ptr[:-1]]
+        ends, parity = sized[ptr[1:]], odd[ptr[1:]] == odd[ptr[:-1]]
+        unsure = np.arange(len(texts)) if self.model.unigram else np.flatnonzero(~parity)
+        if len(unsure):
+            expected = self.reference.encode([texts[i] for i in unsure], num_threads=THREADS)
+            begin = np.concatenate([[0], ends[:-1]])
+            for i, e in zip(unsure.tolist(), expected):
+                parity[i] = np.array_equal(ids[begin[i] : ends[i]], np.array(e, np.int32))
+        return ids, ends, parity
 
     def decode_bytes(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, ends) of the decoded texts, without the space of the dummy prefix."""
@@ -259,11 +270,12 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_tokens, parity, round_trip) for every document, by a SentencePiece model.
 
     The model file's protobuf is parsed and its normaliser, metaspace marker, scores (unigram) or
-    merges (BPE) and byte fallback are rebuilt on the tokenizers library. parity: all chunks of the
-    text encode as with the sentencepiece library. round_trip: the ids decode to the very text.
+    merges (BPE) and byte fallback are rebuilt on the tokenizers library. parity: the sentencepiece
+    library gives the text the same ids. round_trip: the ids decode to the very text.
 
     A null text gives nulls, an empty one no ids and true, true. Repeated rows and null doc_ids each
-    give their row. Other columns are ignored.
+    give their row; texts of any length are encoded whole. Other columns are ignored; an empty table
+    gives no rows.
     """
     shared = _shared_model(docs.sparkSession, model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
