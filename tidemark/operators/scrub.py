@@ -26,9 +26,12 @@ PATTERNS = [
     ("slack_token", "slack-token", r"\bxox[abprs]-[a-zA-Z0-9-]{10,}\b"),
     ("jwt", "jwt", r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}\b"),
     ("private_key", "private-key", f"(?s)(?:{_PEM})"),
-    ("connection_string", "connection-string", r"\b(?:redis|amqp|mysql|mongodb(?:\+srv)?|postgres(?:ql)?)://[^\s:@/]+:[^\s@/]+@"),
-    ("generic_secret", "generic-secret", r"""(?i)(?:passw(?:or)?d|secret|token|api[_-]?key) *[=:] *['"]?[^\s'"]{8,}['"]?"""),
+    ("connection_string", "connection-string", r"(?:redis|amqp|mysql|mongodb(?:\+srv)?|postgres(?:ql)?)://[^\s:@/]+:[^\s@/]+@"),
+    ("generic_secret", "generic-secret", r"""(?i)(?:passw(?:or)?d|secret|token|api[_-]?key)\s*[=:]\s*['"]?[^\s'"]{8,}['"]?"""),
 ]
+#: What every match of a pattern holds: plain text, and for the last pattern how it begins.
+LITERALS = ("AKIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ", "-----BEGIN ", "://")
+_GENERIC_START = r"(?i)(?:passw(?:or)?d|secret|token|api[_-]?key)\s*[=:]"
 HIGH_CONFIDENCE = {t for t, _, _ in PATTERNS} - {"generic_secret"}
 _COMPILED = [(t, r, re.compile(p.encode(), re.ASCII)) for t, r, p in PATTERNS]
 RESULT = T.StructType([
@@ -130,37 +133,45 @@ def scrub_udf(content: pd.Series, source_type: pd.Series) -> pd.DataFrame:
 
 
 def may_hold_secret(content: Column) -> Column:
-    """A JVM-side test that no content with a finding fails: contents without a hit skip Python."""
-    out = F.lit(False)
-    for _, _, pattern in PATTERNS:
-        out = out | content.rlike(pattern)
+    """A JVM-side test that no content with a finding fails, so that the others skip Python. It asks
+    for less than the patterns do: only what each match holds in any case, never for word edges or
+    lengths, which the JVM counts in characters and scan() in bytes."""
+    out = content.rlike(_GENERIC_START)
+    for literal in LITERALS:
+        out = out | content.contains(literal)
     return out
 
 
 def scrub_rows(raw: DataFrame, observation: Observation | None = None) -> DataFrame:
-    """raw (raw_content, source_type, ...) with a struct column `scrub`. Only contents that some
-    pattern matches go to Python, unless gitleaks runs for them. observation counts degraded scans."""
-    need = may_hold_secret(F.col("raw_content")) | (F.octet_length("raw_content") > MAX_SCAN_BYTES)
+    """raw (raw_content, source_type, ...) with a struct column `scrub`, in one pass. Only contents
+    that may hold a secret go to Python, and all of git sources where gitleaks is installed; too
+    large ones are cancelled unread. observation counts degraded scans."""
+    git = F.col("source_type") == "git_repo"
+    need = may_hold_secret(F.col("raw_content"))
     if shutil.which("gitleaks"):
-        need = need | (F.col("source_type") == "git_repo")
-    mode = F.when(F.col("source_type") == "git_repo", "gitleaks_degraded_regex").otherwise("regex")
-    clean = F.struct(
-        F.col("raw_content").alias("redacted_content"), F.array().cast(T.ArrayType(model.FINDING)).alias("findings"), mode.alias("scrub_mode"), F.lit("clean").alias("secrets_status"), F.lit(None).cast("string").alias("cancel_reason")
-    )
-    marked = raw.withColumn("_need", F.coalesce(need, F.lit(False)))
-    dirty = marked.filter("_need").withColumn("scrub", scrub_udf("raw_content", "source_type"))
-    out = marked.filter("not _need").withColumn("scrub", clean).unionByName(dirty).drop("_need")
+        need = need | git
+    large = F.octet_length("raw_content") > MAX_SCAN_BYTES
+    marked = raw.withColumn("_state", F.when(F.col("raw_content").isNull(), "null").when(large, "large").when(need, "scan").otherwise("clean"))
+    sent = F.when(F.col("_state") == "scan", F.col("raw_content"))
+    scanned = marked.withColumn("_scan", scrub_udf(sent, F.coalesce("source_type", F.lit(""))))
+    mode = F.when(git, "gitleaks_degraded_regex").otherwise("regex")
+    text, findings = F.lit(None).cast("string"), T.ArrayType(model.FINDING)
+    clean = F.struct(F.col("raw_content").alias("redacted_content"), F.array().cast(findings).alias("findings"), mode.alias("scrub_mode"), F.lit("clean").alias("secrets_status"), text.alias("cancel_reason"))
+    reason = F.when(F.col("_state") == "large", "content_too_large")
+    none = F.struct(text.alias("redacted_content"), F.lit(None).cast(findings).alias("findings"), text.alias("scrub_mode"), text.alias("secrets_status"), reason.alias("cancel_reason"))
+    out = scanned.withColumn("scrub", F.when(F.col("_state") == "scan", F.col("_scan")).when(F.col("_state") == "clean", clean).otherwise(none)).drop("_state", "_scan")
     if observation is not None:
         out = out.observe(observation, F.count_if(F.col("scrub.scrub_mode") == "gitleaks_degraded_regex").alias("degraded"))
     return out
 
 
 def audit(scrubbed: DataFrame) -> DataFrame:
-    """Audit rows of all findings; they hold a hash of the match, never the match."""
+    """Audit rows of all findings, with the time of the scan; they hold a hash of the match, never
+    the match."""
     keep = [c for c in ("source_id", "natural_key") if c in scrubbed.columns]
     rows = scrubbed.select(*keep, F.explode("scrub.findings").alias("f"))
     column = lambda c: F.col(c) if c in scrubbed.columns else F.lit(None).cast("string")
     return rows.select(
         column("source_id").alias("source_id"), F.lit(None).cast("string").alias("chunk_id"), column("natural_key").alias("file_reference"), "f.detector", "f.rule_id", "f.secret_type",
-        F.struct("f.start", "f.length").alias("span"), F.sha2("f.match", 256).alias("match_hash"), F.lit("redacted").alias("action"),
+        F.struct("f.start", "f.length").alias("span"), F.sha2("f.match", 256).alias("match_hash"), F.lit("redacted").alias("action"), F.current_timestamp().alias("detected_at"),
     )
