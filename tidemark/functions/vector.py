@@ -7,7 +7,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,70 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(scale == 0, F.lit(float("nan"))).otherwise(1.0 - dot(a, b) / scale)
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """cosine_distance of an array column to one vector, unrolled: plain arithmetic on elements, which
+    runs in generated code, where lambdas over arrays are interpreted. Null for another length."""
+    q = [float(x) for x in query]
+    norm = float(np.sqrt(sum(x * x for x in q)))
+
+    def total(terms: list[Column]) -> Column:
+        # runs of a few terms, so that no single expression gets too deep
+        while len(terms) > 1:
+            terms = [sum(terms[i + 1 : i + 16], terms[i]) for i in range(0, len(terms), 16)]
+        return terms[0] if terms else F.lit(0.0)
+
+    x = [F.get(a, F.lit(i)).cast("double") for i in range(len(q))]
+    scale = F.sqrt(total([v * v for v in x])) * F.lit(norm)
+    distance = F.when(scale == 0, F.lit(float("nan"))).otherwise(1.0 - total([v * F.lit(p) for v, p in zip(x, q)]) / scale)
+    return F.when(F.size(a) == len(q), distance)
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query, id, distance, rank): for each row of queries(id, embedding) the k rows of
+    base(id, embedding) at the least cosine distance (rounded to 12 digits; ties by id).
+
+    Both sides are packed into blocks of at most `block` vectors; each pair of blocks is one matrix
+    product, of which the best k a query go on, so a query brings k rows a block and never a row
+    a vector. Null ids, null and zero vectors and those of other lengths match nothing."""
+
+    def pack(df: DataFrame, prefix: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, block):
+                    part = batch.slice(lo, block)
+                    v = part.column("embedding")
+                    rows = np.array(v.flatten(), np.float64).reshape(part.num_rows, -1)
+                    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+                    fine = norm[:, 0] > 0
+                    unit, ids = rows[fine] / norm[fine], part.column("id").to_numpy()[fine]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], [f"{prefix}_ids", f"{prefix}_unit"])
+
+        typed = df.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("n"))
+        whole = typed.filter((F.col("n") == size) & F.col("id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select("id", "embedding")
+        return whole.mapInArrow(run, f"{prefix}_ids binary, {prefix}_unit binary")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, asked = np.frombuffer(row["b_ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+                if not len(ids) or not len(asked):
+                    continue
+                b, q = np.frombuffer(row["b_unit"]).reshape(len(ids), -1), np.frombuffer(row["q_unit"]).reshape(len(asked), -1)
+                order = np.argsort(ids, kind="stable")
+                ids, d = ids[order], np.round(1.0 - q @ b[order].T, 12)
+                top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                n = top.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(asked, n)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(d, top, axis=1).ravel())], ["query", "id", "distance"]
+                )
+
+    size = (queries.select(F.max(F.size("embedding"))).first()[0] or 0)
+    pairs = pack(base, "b").crossJoin(pack(queries, "q"))
+    met = pairs.mapInArrow(best, "query long, id long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def distance_to(query: list[float]) -> "callable":
     """A vectorised column function: cosine distance of an array column to one query vector. One
     matrix product for each Arrow batch; the higher-order form above runs interpreted instead."""

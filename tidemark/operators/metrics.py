@@ -52,6 +52,17 @@ def ndcg(ranked: DataFrame, relevance: DataFrame, k: int) -> DataFrame:
     return ideal.join(gained, "query", "full_outer").select("query", score.alias("ndcg"))
 
 
+def ndcg_by_label(ranked: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query, ndcg) where a row is relevant if it has the query's label: ranked(query, rank, id),
+    queries(query, label), rows(id, label). The relevant rows are counted a label, never listed."""
+    label = lambda df, c: df.select(F.col(c), F.col("label").alias(f"{c}_label"))
+    few = ranked.join(label(queries, "query"), "query").join(label(rows, "id"), "id")
+    gained = few.groupBy("query").agg(dcg(F.col("rank"), F.col("query_label") == F.col("id_label"), k).alias("dcg"))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    score = F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / ideal_dcg(F.col("n"), k))
+    return queries.join(sizes, "label", "left").join(gained, "query", "left").select("query", score.alias("ndcg"))
+
+
 def percentile(column: str, p: float) -> Column:
     """Aggregate: the nearest-rank percentile, null without rows."""
     return F.expr(f"percentile_disc({p / 100!r}) within group (order by {column})")

@@ -47,8 +47,8 @@ chunks AS (
 )"""
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+def chunks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    d, e = table(spark, sf_dir, "documents", spread), table(spark, sf_dir, "embeddings")
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     rows = d.join(e, d["doc_id"] == e["vec_id"], "left")
     return rows.select(
@@ -61,8 +61,8 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    d = table(spark, sf_dir, "documents", spread)
     return d.select(F.col("source").alias("source_id"), F.col("source").alias("repo"), F.lit("HEAD").alias("ref"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
 
 
@@ -113,7 +113,7 @@ FROM fused f JOIN chunks c USING (id) ORDER BY round(f.score, 9) DESC, f.id LIMI
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, pool: int = hybrid.POOL, arrow: bool = False, **filters) -> DataFrame:
-    hits = hybrid.hybrid_search(chunks(spark, sf_dir), " ".join(SEARCH_WORDS), query_vector(spark, sf_dir), 20, pool, "simple", arrow, **filters)
+    hits = hybrid.hybrid_search(chunks(spark, sf_dir, spread=True), " ".join(SEARCH_WORDS), query_vector(spark, sf_dir), 20, pool, "simple", arrow, **filters)
     return hits.select("id", "source_type", "repo", "lang", "context_breadcrumb", F.col("metadata")["path"].alias("path"), F.round("score", 9).alias("score"))
 
 
@@ -129,7 +129,7 @@ def vector_topk_arrow(spark, sf_dir):
 
 @query(f"WITH {_CHUNKS_SQL}, {_text_sql(pool=100)} SELECT id, rank FROM fts")
 def fts_topk(spark, sf_dir):
-    return hybrid.text_leg(chunks(spark, sf_dir), " ".join(SEARCH_WORDS), 100, "simple")
+    return hybrid.text_leg(chunks(spark, sf_dir, spread=True), " ".join(SEARCH_WORDS), 100, "simple")
 
 
 @query(_hybrid_sql())
@@ -162,7 +162,7 @@ def hybrid_starved(spark, sf_dir):
 def hybrid_english(spark, sf_dir):
     """Stems, stop words, web-style query and closeness rank."""
     ship(spark)
-    return hybrid.hybrid_search(chunks(spark, sf_dir), 'thereha or "thin erer" -trash', query_vector(spark, sf_dir), 20)
+    return hybrid.hybrid_search(chunks(spark, sf_dir, spread=True), 'thereha or "thin erer" -trash', query_vector(spark, sf_dir), 20)
 
 
 _AXIS = [1.0] + [0.0] * 63
@@ -184,7 +184,7 @@ def matryoshka_norm(spark, sf_dir):
 
 @query()
 def stub_embeddings(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", vector.stub_embedding(F.col("text"), 384).alias("embedding"))
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", vector.stub_embedding(F.col("text"), 384).alias("embedding"))
 
 
 # ---- registry ---------------------------------------------------------------------------------
@@ -200,11 +200,13 @@ def git_repo_slugs(spark, sf_dir):
     return registry.resolve(sources(spark, sf_dir), None)
 
 
-@query(f"""WITH {_SOURCES_SQL}, c AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1), p AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
+@query(f"""WITH {_SOURCES_SQL}, c AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS n FROM orders GROUP BY 1)
 SELECT s.id, source_type, name, coalesce(c.n, 0) AS chunks, coalesce(p.n, 0) AS pending FROM sources s LEFT JOIN c USING (id) LEFT JOIN p USING (id) ORDER BY source_type, name""")
 def source_status(spark, sf_dir):
-    rows = lambda least: table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > least).select(F.col("l_suppkey").cast("string").alias("source_id"))
-    return registry.source_status(sources(spark, sf_dir), rows(45), rows(49))
+    """Line items stand for chunks and orders for what is pending."""
+    held = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_id"))
+    pending = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("source_id"))
+    return registry.source_status(sources(spark, sf_dir), held, pending)
 
 
 @query("SELECT event_type AS state, count(*) AS jobs FROM events GROUP BY event_type")
@@ -252,7 +254,7 @@ _GENERIC = r"""(?i)(?:token|secret|passwd|password|api_key|api-key|apikey)[ \t\r
 
 
 def _raw(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     return d.select("doc_id", F.col("source").alias("source_id"), F.expr(_TYPE.format("doc_id")).alias("source_type"), F.concat(F.lit("repo:"), "source", F.lit(":"), F.col("doc_id").cast("string")).alias("natural_key"), F.col("text").alias("raw_content"))
 
 
@@ -325,7 +327,7 @@ def content_hash_dups(spark, sf_dir):
 def chunk_pipeline(spark, sf_dir):
     """Files to chunk rows: keyed, scrubbed, chunked, embedded."""
     ship(spark)
-    rows = ingest.chunk_table(ingest.raw_rows(files(spark, sf_dir)), F.lit("2024-01-01").cast("timestamp"))
+    rows = ingest.chunk_table(ingest.raw_rows(files(spark, sf_dir, spread=True)), F.lit("2024-01-01").cast("timestamp"))
     return rows.select("id", "source_id", "chunk_key", "content_hash", "context_breadcrumb", "parse_status", "secrets_status")
 
 
@@ -371,10 +373,10 @@ def prune_deleted(spark, sf_dir):
     return ingest.prune(c, gone).select("id", "repo", F.col("metadata")["path"].alias("path"))
 
 
-@query(f"""WITH {_SOURCES_SQL} SELECT CAST(l_suppkey AS VARCHAR) AS source_id, count(*) AS chunks FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 3 <> 0 GROUP BY 1""")
+@query(f"""WITH {_SOURCES_SQL} SELECT CAST(l_suppkey AS VARCHAR) AS source_id, count(*) AS chunks FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1""")
 def cascade_delete(spark, sf_dir):
     s = sources(spark, sf_dir)
-    held = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").cast("string").alias("source_id"))
+    held = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_id"))
     states = s.select(F.col("id").alias("source_id"))
     _, left, _ = ingest.cascade(s, held, states, s.filter("source_type = 'git_repo'").select("id"))
     return left.groupBy("source_id").agg(F.count("*").alias("chunks"))
@@ -412,22 +414,19 @@ def latest_per_key(spark, sf_dir):
 
 
 @query("""
-WITH base AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM base WHERE vec_id < 20),
+WITH base AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM base WHERE vec_id % 50 = 0),
 ranked AS (
   SELECT q.vec_id AS query, b.vec_id AS id, b.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_distance(b.v, q.v), 12), b.vec_id) AS rank FROM q, base b QUALIFY rank <= 10
 ), got AS (SELECT query, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM ranked GROUP BY query),
 ideal AS (SELECT q.vec_id AS query, list_sum(list_transform(range(1, 1 + least(10, count(*))), lambda i: 1 / log2(i + 1))) AS idcg FROM q JOIN base b ON b.label = q.label GROUP BY q.vec_id)
 SELECT query, round(dcg / idcg, 9) AS ndcg FROM got JOIN ideal USING (query)""")
 def ndcg_at_k(spark, sf_dir):
-    """The 20 first vectors as queries over all vectors; relevant is what shares their label."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    pairs = e.crossJoin(F.broadcast(q)).select("query", F.col("vec_id").alias("id"), F.round(vector.cosine_distance(F.col("embedding"), F.col("qv")), 12).alias("d"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).filter("rank <= 10")
-    relevance = e.join(F.broadcast(q), e["label"] == q["ql"]).select("query", F.col("vec_id").alias("id"))
-    return metrics.ndcg(ranked, relevance, 10).select("query", F.round("ndcg", 9).alias("ndcg"))
+    """Every vector whose id 50 divides as a query over all vectors; relevant is what shares its label."""
+    ship(spark)
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    q = e.filter("id % 50 = 0")
+    ranked = vector.nearest(e, q, 10)
+    return metrics.ndcg_by_label(ranked, q.select(F.col("id").alias("query"), "label"), e.select("id", "label"), 10).select("query", F.round("ndcg", 9).alias("ndcg"))
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")

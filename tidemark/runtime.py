@@ -14,9 +14,15 @@ ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the driver's parquet tables. spread: for work that costs much more than reading, rows
+    of a table with fewer splits than the cluster has cores (a small file of one row group, say)
+    are dealt out to all cores; a table with enough splits is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
