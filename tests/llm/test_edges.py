@@ -70,8 +70,14 @@ def test_substring(edge, none):
     got = substring.repeated_passages(edge).collect()
     assert {r["doc_id"] for r in got} == {1, 2, 8, 9}
     assert {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] < 3} == {(0, 60)}
-    for limit in (substring.SKETCH_LIMIT, 0):
-        assert substring.repeated_passages(none, limit).count() == 0
+    assert substring.repeated_passages(none).count() == 0
+
+
+def test_substring_tells_texts_with_one_id_apart(spark):
+    a, b = PASSAGE, " ".join(f"beta{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, a), (2, "x " + a), (2, b), (3, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["later_windows"]) for r in substring.repeated_passages(docs).collect())
+    assert got == [(1, 0, 60, 0), (2, 0, 70, 0), (2, 1, 61, 11), (3, 0, 70, 21)]
 
 
 def test_sentencepiece(edge, none):

@@ -19,6 +19,15 @@ def docs(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
+def all_hot(batches):
+    """substring._probe, calling every suspected anchor hot."""
+    for batch in probe(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("anchor"), pa.array(np.ones(batch.num_rows, bool))], ["part", "anchor", "hot"])
+
+
+probe = substring._probe
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -151,7 +160,28 @@ def test_components(spark):
 def test_substring_against_sql(docs):
     got = rows(substring.repeated_passages(docs).select("doc_id", "start_word", "end_word", "later_windows"))
     assert got == sorted(oracle(substring.SQL, documents=docs).fetchall()) and got
-    assert got == rows(substring.repeated_passages(docs, sketch_limit=0).select("doc_id", "start_word", "end_word", "later_windows"))
+
+def test_substring_of_hot_windows(docs, monkeypatch):
+    """Windows that are aggregated before the shuffle give the same rows."""
+    want = rows(substring.repeated_passages(docs))
+    monkeypatch.setattr(substring, "_probe", all_hot)
+    assert rows(substring.repeated_passages(docs)) == want
+
+
+def test_sketch_never_counts_too_low():
+    rng = np.random.default_rng(9)
+    anchor = rng.integers(1, 1 << 62, 5000).repeat(rng.integers(1, 4, 5000))
+    shard = anchor % 3
+    batch = pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(shard), pa.array(np.ones(len(anchor), np.int64))], ["anchor", "shard", "n"])
+    halves = [batch.slice(0, len(anchor) // 2), batch.slice(len(anchor) // 2)]
+    partial = pa.Table.from_batches([x for h in halves for x in substring._partial_sketches(iter([h]))]).sort_by([("shard", "ascending"), ("row", "ascending")])
+    sketch = pa.Table.from_batches(substring._merge_sketches(iter(partial.to_batches())))
+    asked = pa.RecordBatch.from_arrays([pa.array(shard), pa.array(anchor), pa.array(np.zeros(len(anchor), np.int32)), pa.array(np.ones(len(anchor), bool))], ["shard", "anchor", "part", "late"])
+    table = pa.concat_tables([sketch.append_column("late", pa.array(np.zeros(sketch.num_rows, bool))), pa.Table.from_batches([asked])], promote_options="default").sort_by([("shard", "ascending"), ("late", "ascending")])
+    found = pa.Table.from_batches(substring._probe(iter(table.combine_chunks().to_batches())))
+    value, count = np.unique(anchor, return_counts=True)
+    got = set(found.column("anchor").to_pylist())
+    assert set(value[count > 1].tolist()) <= got and len(got) < 1.1 * (count > 1).sum()
 
 
 def test_sentencepiece_parity_and_round_trip(docs):

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +17,23 @@ from tidemark.runtime import materialize, ship, table
 WINDOW = 50  # words
 ANCHOR = 10  # words of an anchor; each window holds WINDOW - ANCHOR + 1 of them
 DEPTH = 2  # rows of the sketch
-SHARD_BITS = 20  # counters of a sketch shard, as a power of two
-SKETCH_LIMIT = 64 << 20  # bytes of merged sketch that are sent to every worker
+SHARD_BITS = 20  # counters of a row of a sketch shard, as a power of two
+PART_BYTES = 32 << 20  # text of a part of the corpus, on average
+HOT = 20_000  # occurrences from which a window's places are aggregated before they are shuffled
 
 _ROW_SEEDS = [np.uint64((0xD1B54A32D192ED03 * (2 * i + 1)) % (1 << 64)) for i in range(DEPTH)]
+_SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
-def _anchors(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, least, chosen) of the windows: first word, least anchor hash; chosen: all anchor
-    hashes that are the least of a window, once for each place."""
+def _anchors(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, least, chosen, values): first word and least anchor hash of each window; the words
+    whose anchor is the least of some window; the anchor hash of each word."""
     values = np.full(len(words.hash), np.uint64(0xFFFFFFFFFFFFFFFF))
     hashes, at = words.windows(ANCHOR)
     values[at] = np.maximum(hashes, 1)
-    size = WINDOW - ANCHOR + 1
     # a row of n words has n - ANCHOR + 1 anchors: shorten rows by the words that start none
-    start, least, chosen = minima_of_rows(values, words.ptr, size)
-    return start, least, values[chosen]
+    start, least, chosen = minima_of_rows(values, words.ptr, WINDOW - ANCHOR + 1)
+    return start, least, np.flatnonzero(chosen), values
 
 
 def minima_of_rows(values: np.ndarray, ptr: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,100 +46,140 @@ def minima_of_rows(values: np.ndarray, ptr: np.ndarray, size: int) -> tuple[np.n
     return at[start], least, mask
 
 
-def _bucket(hashes: np.ndarray, row: int, width_bits: int) -> np.ndarray:
-    return tk.mix(hashes ^ _ROW_SEEDS[row]) >> np.uint64(64 - width_bits)
+def _anchor_rows(part: pa.RecordBatch) -> pa.RecordBatch:
+    """(anchor, part, n): the chosen anchors of the texts and how often each is chosen in a part."""
+    words = tk.Words(part.column("text"))
+    _, _, chosen, values = _anchors(words)
+    anchor, place = values[chosen], part.column("part").to_numpy()[words.row()[chosen]]
+    order = np.lexsort((place, anchor))
+    anchor, place = anchor[order], place[order]
+    fresh = np.ones(len(anchor), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(fresh)
+    return pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(place[first]), pa.array(np.diff(np.append(first, len(anchor))))], ["anchor", "part", "n"])
 
 
-def _partial_sketches(width_bits: int) -> Callable:
-    """One sketch of a whole partition, as sparse shards: counters at one, counters at two or more."""
+def _cell(anchors: np.ndarray, row: int) -> np.ndarray:
+    return (tk.mix(anchors ^ _ROW_SEEDS[row]) >> np.uint64(64 - SHARD_BITS)).astype(np.uint32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                kept.append(_anchors(tk.Words(part.column("text")))[2])
-        hashes = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-        for row in range(DEPTH):
-            bucket, count = np.unique(_bucket(hashes, row, width_bits), return_counts=True)
-            shard = (bucket >> np.uint64(SHARD_BITS)).astype(np.int64)
-            place = (bucket & np.uint64((1 << SHARD_BITS) - 1)).astype(np.uint32)
-            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(shard)]):
-                p, c = place[lo:hi], count[lo:hi]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row], pa.int32()), pa.array([int(shard[lo])], pa.int64()), pa.array([p[c == 1].tobytes()], pa.binary()), pa.array([p[c > 1].tobytes()], pa.binary())],
-                    ["row", "shard", "one", "more"],
-                )
-
-    return run
 
+def _partial_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A count-min sketch of one partition: for each shard and row the cells that aren't zero and
+    their counts (up to HOT)."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    whole = pa.Table.from_batches(parts)
+    shard, n = whole.column("shard").to_numpy(), whole.column("n").to_numpy()
+    anchor = np.ascontiguousarray(whole.column("anchor").to_numpy()).view(np.uint64)
+    for row in range(DEPTH):
+        at, where = np.unique(shard.astype(np.int64) << SHARD_BITS | _cell(anchor, row), return_inverse=True)
+        count = np.minimum(np.bincount(where, n), HOT).astype(np.uint16)
+        of = at >> SHARD_BITS
+        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        cell = (at & ((1 << SHARD_BITS) - 1)).astype(np.uint32)
+        for lo, hi in zip(cuts, [*cuts[1:], len(at)]):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(of[lo])], pa.int64()), pa.array([row], pa.int32()), pa.array([cell[lo:hi].tobytes()], pa.binary()), pa.array([count[lo:hi].tobytes()], pa.binary())], ["shard", "row", "cells", "counts"]
+            )
+
+
+def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sketches of a shard and row, summed: one bit a counter for two or more, and the cells
+    that reach HOT. Rows come sorted by shard and row, so one shard is held at a time."""
+    now, counter = None, None
+
+    def done() -> pa.RecordBatch:
+        more = np.packbits(counter > 1, bitorder="little").tobytes()
+        hot = np.flatnonzero(counter >= HOT).astype(np.uint32).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int32()), pa.array([more], pa.binary()), pa.array([hot], pa.binary())], ["shard", "row", "more", "hot"])
 
-def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum partial shards (saturating at two) and keep one bit a counter: reached two or not."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for x in batch.to_pylist():
-            counter = sums.setdefault((x["row"], x["shard"]), np.zeros(1 << SHARD_BITS, np.uint8))
-            for name, by in (("one", 1), ("more", 2)):
-                at = np.frombuffer(x[name], np.uint32)
-                counter[at] = np.minimum(counter[at] + by, 2)
-    for (row, shard), counter in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([shard], pa.int64()), pa.array([np.packbits(counter > 1, bitorder="little").tobytes()], pa.binary())], ["row", "shard", "bits"])
-
-
-def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = at.astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
-def _estimated_repeated(least: np.ndarray, sketch: list[np.ndarray], width_bits: int) -> np.ndarray:
-    keep = np.ones(len(least), bool)
-    for row in range(DEPTH):
-        keep &= _set(sketch[row], _bucket(least, row, width_bits))
-    return keep
-
-
-def _window_rows(part: pa.RecordBatch, words: tk.Words, start: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-    prefix, at = words.windows(WINDOW)
-    row = words.row()[at][keep]
+            if (x["shard"], x["row"]) != now:
+                if now is not None:
+                    yield done()
+                now, counter = (x["shard"], x["row"]), np.zeros(1 << SHARD_BITS, np.uint16)
+            at = np.frombuffer(x["cells"], np.uint32)
+            counter[at] = np.minimum(counter[at] + np.frombuffer(x["counts"], np.uint16), HOT)
+    if now is not None:
+        yield done()
+
+
+def _runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of runs of rows that are equal in all columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    cuts = np.flatnonzero(new).tolist()
+    return list(zip(cuts, [*cuts[1:], len(new)]))
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, anchor, hot) of the anchors that their shard's sketch counts twice or more. A shard's
+    sketch (row >= 0) comes before its anchors (row -1 sorts last by `late`)."""
+    now, more, hot = None, {}, {}
+    for batch in batches:
+        shard, late = batch.column("shard").to_numpy(), batch.column("late").to_numpy(zero_copy_only=False)
+        for lo, hi in _runs_of(shard, late):
+            if shard[lo] != now:
+                now, more, hot = shard[lo], {}, {}
+            part = batch.slice(lo, hi - lo)
+            if not late[lo]:
+                for x in part.select(["row", "more", "hot"]).to_pylist():
+                    more[x["row"]] = np.frombuffer(x["more"], np.uint8)
+                    hot[x["row"]] = np.frombuffer(x["hot"], np.uint32)
+                continue
+            anchor = np.ascontiguousarray(part.column("anchor").to_numpy()).view(np.uint64)
+            keep, often = np.ones(len(anchor), bool), np.ones(len(anchor), bool)
+            for row in range(DEPTH):
+                cell = _cell(anchor, row)
+                keep &= (more[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                often &= np.isin(cell, hot[row]) if len(hot[row]) else False
+            yield pa.RecordBatch.from_arrays([part.column("part").filter(pa.array(keep)), pa.array(anchor[keep].view(np.int64)), pa.array(often[keep])], ["part", "anchor", "hot"])
+
+
+def _window_rows(part: pa.RecordBatch, known: np.ndarray) -> pa.RecordBatch:
+    """The windows whose least anchor is known: two hashes of the window, document and place. The
+    place holds 31 bits that tell texts with one doc_id apart, then the first word's number."""
+    words = tk.Words(part.column("text"))
+    _, least, _, _ = _anchors(words)
+    slot = np.minimum(np.searchsorted(known, least), max(len(known) - 1, 0))
+    keep = known[slot] == least if len(known) else np.zeros(len(least), bool)
+    h, at = words.windows(WINDOW)
+    g = tk.windows(tk.mix(words.hash ^ _SECOND), words.ptr, WINDOW)[0][keep] if keep.any() else h[keep]
+    h, at = h[keep], at[keep]
+    row = np.searchsorted(words.ptr, at, "right") - 1
     doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-    pos = (at[keep] - words.ptr[row]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(prefix[keep].view(np.int64)), pa.array(doc[row].astype(np.int64)), pa.array(pos)], ["h", "doc_id", "pos"])
-
+    tid = (part.column("tid").to_numpy(zero_copy_only=False).astype(np.int64) >> 33) & 0x7FFFFFFF
+    place = tid[row] << 32 | (at - words.ptr[row])
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc[row].astype(np.int64)), pa.array(place)], ["h", "g", "doc_id", "place"])
 
-def _suspects_by_sketch(shared, width_bits: int) -> Callable:
-    def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        words = tk.Words(part.column("text"))
-        start, least, _ = _anchors(words)
-        sketch = [np.frombuffer(x, np.uint8) for x in shared.value]
-        return _window_rows(part, words, start, _estimated_repeated(least, sketch, width_bits))
 
-    return tk.mapper(one, "text")
-
-
-def _anchor_rows(part: pa.RecordBatch) -> pa.RecordBatch:
-    doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-    words = tk.Words(part.column("text"))
-    size = WINDOW - ANCHOR + 1
-    values = np.full(len(words.hash), np.uint64(0xFFFFFFFFFFFFFFFF))
-    hashes, at = words.windows(ANCHOR)
-    values[at] = np.maximum(hashes, 1)
-    _, _, chosen = minima_of_rows(values, words.ptr, size)
-    return pa.RecordBatch.from_arrays([pa.array(values[chosen].view(np.int64)), pa.array(doc[words.row()[chosen]].astype(np.int64))], ["anchor", "doc_id"])
+def _suspected(hot: bool) -> Callable:
+    """Windows with a suspected anchor, hot or not. A part's anchors come before its texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gathered, known = None, [], None
+        for batch in batches:
+            of, late = batch.column("part").to_numpy(), batch.column("late").to_numpy(zero_copy_only=False)
+            for lo, hi in _runs_of(of, late):
+                if of[lo] != now:
+                    now, gathered, known = of[lo], [], None
+                part = batch.slice(lo, hi - lo)
+                if not late[lo]:
+                    part = part.filter(part.column("hot") if hot else pc.invert(part.column("hot")))
+                    gathered.append(part.column("anchor").to_numpy())
+                    continue
+                if known is None:
+                    known = np.sort(np.concatenate(gathered).view(np.uint64)) if gathered else np.zeros(0, np.uint64)
+                for piece in tk.slices(part, "text") if len(known) else ():
+                    rows = _window_rows(piece, known)
+                    if rows.num_rows:
+                        yield rows
 
-def _suspects_by_list(part: pa.RecordBatch) -> pa.RecordBatch:
-    words = tk.Words(part.column("text"))
-    start, least, _ = _anchors(words)
-    known = part.column("anchors")
-    flat = known.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    owner = np.repeat(np.arange(len(known)), [len(x) if x is not None else 0 for x in known.to_pylist()])
-    keep = np.zeros(len(least), bool)
-    row = words.row()[start] if len(start) else np.zeros(0, np.int64)
-    for r in np.unique(owner):
-        of = row == r
-        keep[of] = np.isin(least[of], flat[owner == r])
-    return _window_rows(part, words, start, keep)
+    return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,19 +188,21 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     whole = pa.Table.from_batches(parts)
-    h, doc, pos = (whole.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
+    h, g, doc, place = (whole.column(c).to_numpy() for c in ("h", "g", "doc_id", "place"))
     order = np.argsort(h, kind="stable")
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[order][1:] == h[order][:-1]
     order = order[same[1:] | same[:-1]]
-    h, doc, pos = h[order], doc[order], pos[order]
-    order = np.lexsort((pos, doc, h))
-    h, doc, pos = h[order], doc[order], pos[order]
-    later = np.zeros(len(h), bool)
-    later[1:] = h[1:] == h[:-1]
-    for lo in range(0, len(h), 200_000):
+    h, g, doc, place = h[order], g[order], doc[order], place[order]
+    order = np.lexsort((place, doc, g, h))
+    h, g, doc, place = h[order], g[order], doc[order], place[order]
+    later = np.zeros(len(h) + 1, bool)
+    later[1:-1] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+    again = later[:-1] | later[1:]
+    later, doc, place = later[:-1][again], doc[again], place[again]
+    for lo in range(0, len(doc), 200_000):
         to = slice(lo, lo + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[to]), pa.array(pos[to]), pa.array(later[to])], ["doc_id", "pos", "later"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[to]), pa.array(place[to]), pa.array(later[to])], ["doc_id", "place", "later"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +211,12 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     whole = pa.Table.from_batches(parts)
-    doc, pos, later = (whole.column(c).to_numpy() for c in ("doc_id", "pos", "later"))
-    order = np.lexsort((later, pos, doc))
-    doc, pos, later = doc[order], pos[order], later[order]
+    doc, place, later = (whole.column(c).to_numpy() for c in ("doc_id", "place", "later"))
+    order = np.lexsort((later, place, doc))
+    doc, place, later = doc[order], place[order], later[order]
+    pos = place & 0xFFFFFFFF
     fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + WINDOW)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + WINDOW)
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(doc)) - 1
     yield pa.RecordBatch.from_arrays(
@@ -180,45 +225,53 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def repeated_passages(docs: DataFrame, sketch_limit: int = SKETCH_LIMIT) -> DataFrame:
+def repeated_passages(docs: DataFrame) -> DataFrame:
     """Word runs covered by windows of WINDOW words that occur more than once in the corpus:
     (doc_id, start_word, end_word, later_windows). Words count from 0; end_word is exclusive;
     later_windows counts the run's windows that aren't the first of their kind by (doc_id, word).
 
     Pass one chooses in each window the least of its ANCHOR-word hashes and counts the chosen
-    anchors in a count-min sketch: a sketch for each partition, merged by shards. Equal windows
-    choose equal anchors and the sketch never counts too low, so a repeated window's anchor always
-    shows two or more. Pass two sends only windows with such an anchor to an exact grouping by
-    64-bit window hash, so none is lost and false alarms of the sketch vanish. If the merged sketch
-    (sized by the corpus) exceeds sketch_limit bytes it isn't sent to the workers; the anchors are
-    then counted exactly by a shuffle and joined back to their documents, with the same result.
+    anchors in a count-min sketch: sparse sketches of partitions, merged shard by shard. Equal
+    windows choose equal anchors and the sketch never counts too low, so a repeated window's anchor
+    always shows two or more. Anchors are probed in their shard's task, and those that pass go back
+    to the part of the corpus that has them, once a part. Pass two sends only windows with such an
+    anchor to an exact grouping by 128 bits of window hash, so none is lost and false alarms of the
+    sketch vanish. The sketch is never sent to the driver or broadcast, at any size of the corpus.
+    Windows whose anchor the sketch counts HOT times are grouped by aggregating before the shuffle
+    and joined with their first place; the others' places meet in one task.
 
     Null texts and texts of fewer than WINDOW words have no windows; rows with a null doc_id are
-    left out. Repeated rows count as separate occurrences; runs of rows that share a doc_id are
-    merged. Other columns are ignored. An empty table gives no rows.
+    left out. Repeated rows count as separate occurrences, in runs that they share; different texts
+    with one doc_id have runs of their own, ordered by a hash of the text. Texts of any length are
+    read whole. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one word in 6 bytes and a chosen anchor in 20 words; four counters an anchor and row
-    width_bits = max(SHARD_BITS, int(np.ceil(np.log2(max(total / 120 * 4, 2)))))
-    if DEPTH << width_bits >> 3 <= sketch_limit:
-        partial = texts.select("text").mapInArrow(_partial_sketches(width_bits), "row int, shard long, one binary, more binary")
-        merged = partial.repartition("row", "shard").mapInArrow(_merge_shards, "row int, shard long, bits binary").collect()
-        sketch = [bytearray(1 << width_bits >> 3) for _ in range(DEPTH)]
-        step = 1 << SHARD_BITS >> 3
-        for x in merged:
-            sketch[x["row"]][x["shard"] * step : (x["shard"] + 1) * step] = x["bits"]
-        shared = spark.sparkContext.broadcast([bytes(x) for x in sketch])
-        windows = texts.mapInArrow(_suspects_by_sketch(shared, width_bits), "h long, doc_id long, pos int")
-    else:
-        anchors = materialize(texts.mapInArrow(tk.mapper(_anchor_rows, "text"), "anchor long, doc_id long"), "anchors")
-        often = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
-        lists = anchors.join(often, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        windows = texts.join(lists, "doc_id").mapInArrow(tk.mapper(_suspects_by_list, "text"), "h long, doc_id long, pos int")
-    repeats = windows.repartition("h").mapInArrow(_repeats, "doc_id long, pos int, later boolean")
-    return repeats.repartition("doc_id").mapInArrow(_spans, "doc_id long, start_word int, end_word int, later_windows long")
+    shards = max(1, int(total / 120 * 4) >> SHARD_BITS)
+    parts = max(spark.sparkContext.defaultParallelism, int(total) // PART_BYTES)
+    told = texts.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    dealt = told.withColumn("part", F.pmod(F.xxhash64("doc_id", "tid"), F.lit(parts)).cast("int"))
+    chosen = dealt.mapInArrow(tk.mapper(_anchor_rows, "text"), "anchor long, part int, n long")
+    once = chosen.groupBy("anchor", "part").agg(F.sum("n").alias("n"))
+    anchors = materialize(once.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))), "anchors")
+    partial = anchors.mapInArrow(_partial_sketches, "shard long, row int, cells binary, counts binary")
+    sketch = materialize(partial.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(_merge_sketches, "shard long, row int, more binary, hot binary"), "sketch")
+    both = sketch.withColumn("late", F.lit(False)).unionByName(anchors.select("shard", "anchor", "part", F.lit(True).alias("late")), allowMissingColumns=True)
+    suspects = materialize(both.repartition("shard").sortWithinPartitions("shard", "late").mapInArrow(_probe, "part int, anchor long, hot boolean"), "suspects")
+    met = suspects.withColumn("late", F.lit(False)).unionByName(dealt.withColumn("late", F.lit(True)), allowMissingColumns=True)
+    ordered = met.repartition("part").sortWithinPartitions("part", "late")
+    schema = "h long, g long, doc_id long, place long"
+    repeats = ordered.mapInArrow(_suspected(False), schema).repartition("h").mapInArrow(_repeats, "doc_id long, place long, later boolean")
+    if not suspects.filter("hot").isEmpty():
+        hot = materialize(ordered.mapInArrow(_suspected(True), schema), "hot_windows")
+        first = hot.groupBy("h", "g").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        later = F.struct("doc_id", "place") > F.col("first")
+        repeats = repeats.unionByName(hot.join(first, ["h", "g"]).select("doc_id", "place", later.alias("later")))
+    by_text = repeats.withColumn("text_bits", F.shiftright("place", 32))
+    return by_text.repartition("doc_id", "text_bits").mapInArrow(_spans, "doc_id long, start_word int, end_word int, later_windows long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
