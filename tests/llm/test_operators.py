@@ -59,6 +59,21 @@ def test_rans_round_trip_and_checksum():
 def test_token_blocks_round_trip(docs):
     blocks, freq = token_blocks.encode(docs)
     got = {r["doc_id"]: r["ids"] for r in token_blocks.decode(blocks, freq).collect()}
+    with open(token_blocks.RANKS, "rb") as f:
+        enc, _ = token_blocks.encoder(f.read())
+    want = {r["doc_id"]: enc.encode_ordinary(r["text"]) for r in docs.collect()}
+    assert got == want
+    # segment by segment, each in a task of its own, gives the same tokens
+    size = {(r["block_id"], r["segment"]): r["ids"] for r in token_blocks.decode_segments(blocks, freq).collect()}
+    for b in blocks.collect():
+        tokens = sum((size[b["block_id"], i] for i in range(len(b["checkpoints"]))), [])
+        assert tokens == [t for d in b["doc_ids"] for t in want[d]] and len(b["checkpoints"]) == -(-b["n_tokens"] // (256 * 512))
+
+
+def test_token_block_query_decodes_by_itself(spark, docs):
+    out = token_blocks.query(spark, SMALL)
+    assert out.filter("frequencies is not null").count() == 1
+    got = {r["doc_id"]: r["ids"] for r in token_blocks.decode(*token_blocks.load(out)).collect()}
     with open(token_blocks.RANKS, "rb") as f:
         enc, _ = token_blocks.encoder(f.read())
     assert got == {r["doc_id"]: enc.encode_ordinary(r["text"]) for r in docs.collect()}

@@ -114,7 +114,7 @@ def classify(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
 
 
 def _kept_batches(weight: np.ndarray, pair: np.ndarray) -> Callable:

@@ -291,7 +291,7 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(table(spark, sf_dir, "documents", spread=True))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT, block: int =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents", spread=True))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

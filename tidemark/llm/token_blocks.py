@@ -128,7 +128,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
     return blocks, frequencies
 
 
-def _decode_segments(shared) -> Callable:
+def _decode_blocks(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = rans.Table.of(np.frombuffer(shared.value, np.int64))
         for batch in batches:
@@ -150,12 +150,62 @@ def decode(blocks: DataFrame, frequencies: DataFrame) -> DataFrame:
     Blocks decode in parallel, each with nothing but itself and the frequencies."""
     spark = blocks.sparkSession
     ship(spark)
-    freq = np.array([r["freq"] for r in frequencies.orderBy("token").select("freq").collect()], np.int64)
-    return blocks.mapInArrow(_decode_segments(spark.sparkContext.broadcast(freq.tobytes())), "doc_id long, ids array<int>")
+    return blocks.mapInArrow(_decode_blocks(spark.sparkContext.broadcast(_frequency_bytes(frequencies))), "doc_id long, ids array<int>")
+
+
+def segments(blocks: DataFrame) -> DataFrame:
+    """(block_id, segment, n, states, checksum, stream): the segments of all blocks as rows of their
+    own, each with its checkpoint and no more of the stream than it reads."""
+    at = F.col("checkpoints")[F.col("segment")]["place"]
+    until = F.coalesce(F.get(F.col("checkpoints"), F.col("segment") + 1)["place"], F.octet_length("stream") / 4).cast("int")
+    size = rans.SEGMENT_STEPS * rans.LANES
+    each = blocks.select("block_id", "n_tokens", "stream", "checkpoints", F.posexplode("checkpoints").alias("segment", "point"))
+    return each.select(
+        "block_id", "segment", F.least(F.lit(size), F.col("n_tokens") - F.col("segment") * size).cast("int").alias("n"), "point.states", "point.checksum",
+        F.substr(F.col("stream"), (at * 4 + 1).cast("int"), (until - at.cast("int")) * 4).alias("stream"),
+    )
+
+
+def decode_segments(blocks: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(block_id, segment, ids): the tokens of each segment. Segments are dealt out to all tasks, so
+    those of one block decode in parallel; one that fails its checksum is an error."""
+    spark = blocks.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(_frequency_bytes(frequencies))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = rans.Table.of(np.frombuffer(shared.value, np.int64))
+        for batch in batches:
+            for x in batch.to_pylist():
+                ids = rans.decode_segment(rans.Block(x["n"], x["stream"], [0], [x["states"]], [x["checksum"]]), freq, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([x["block_id"]], pa.int64()), pa.array([x["segment"]], pa.int32()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], ["block_id", "segment", "ids"])
+
+    dealt = segments(blocks).repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, "block_id long, segment int, ids array<int>")
+
+
+def _frequency_bytes(frequencies: DataFrame) -> bytes:
+    return np.array([r["freq"] for r in frequencies.orderBy("token").select("freq").collect()], np.int64).tobytes()
+
+
+def stored(blocks: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """One table that decodes by itself: the blocks, and a header row (no tokens, no documents) whose
+    column `frequencies` holds the shared table as 64-bit numbers by token."""
+    spark = blocks.sparkSession
+    data = _frequency_bytes(frequencies)
+    schema = blocks.schema.add("frequencies", "binary")
+    header = spark.createDataFrame([(-1, 0, [], [], bytearray(), [], bytearray(data))], schema)
+    return header.unionByName(blocks.withColumn("frequencies", F.lit(None).cast("binary")))
+
+
+def load(table_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, frequencies) of a stored table."""
+    header = table_.filter("frequencies is not null").first()
+    freq = np.frombuffer(header["frequencies"], np.int64)
+    frequencies = table_.sparkSession.createDataFrame(pa.table({"token": np.arange(len(freq), dtype=np.int32), "freq": freq}))
+    return table_.filter("frequencies is null").drop("frequencies"), frequencies
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All blocks, with the CRC-32 of the frequencies that they share."""
-    blocks, frequencies = encode(table(spark, sf_dir, "documents"))
-    tag = frequencies.agg(F.crc32(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("token", "freq"))), lambda x: x["freq"].cast("string"))).cast("binary"))).first()[0]
-    return blocks.withColumn("frequencies_crc", F.lit(tag))
+    """All blocks, and the frequencies that they share in a header row."""
+    return stored(*encode(table(spark, sf_dir, "documents", spread=True)))

@@ -332,4 +332,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
