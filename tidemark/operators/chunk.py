@@ -1,10 +1,13 @@
-"""Chunkers: a line heuristic for any text, and syntax trees for Python."""
+"""Chunkers: a line heuristic for any text, syntax for seven languages."""
 
 from __future__ import annotations
 
 import ast
 import re
+import signal
+import threading
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import model
-from tidemark.functions import scalar
+from tidemark.functions import scalar, syntax
 
 SOFT_BYTES, HARD_BYTES = 1500, 6000
+PARSE_SECONDS = 5.0
 
 
 def _item(text: str, first: int, last: int, kind: str, status: str, trail: str = "") -> dict:
@@ -80,21 +84,54 @@ def python_ast(source: str) -> list[dict]:
     return out
 
 
+def scanned(language: str) -> Callable[[str], list[dict]]:
+    """The chunker of a language that syntax.definitions scans."""
+
+    def run(source: str) -> list[dict]:
+        text = re.sub("\r\n?", "\n", source)
+        line = lambda at: text.count("\n", 0, at) + 1
+        return [_item(text[d.start : d.end], line(d.start), line(d.end - 1), d.kind, "ok", " > ".join(trail)) for d, trail in syntax.definitions(text, language)]
+
+    return run
+
+
 #: Syntax chunkers by language; languages without one go to the heuristic.
-CHUNKERS: dict[str, Callable[[str], list[dict]]] = {"python": python_ast}
+CHUNKERS: dict[str, Callable[[str], list[dict]]] = {"python": python_ast} | {x: scanned(x) for x in syntax.LANGUAGES}
+
+
+@contextmanager
+def time_limit(seconds: float):
+    """TimeoutError in the block after so many seconds. Only a main thread can be interrupted (a
+    Python worker's is); elsewhere the block runs unlimited."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise TimeoutError("parsing took too long")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 def chunk(source: str | None, language: str | None, reason: str | None) -> tuple[list[dict], str, str]:
     """(chunks, parse_status, quality) of one content whose preflight gave `reason`. A text that a
-    syntax chunker can't parse, or finds nothing in, falls back to the heuristic."""
+    syntax chunker can't parse, finds nothing in or takes PARSE_SECONDS for falls back to the
+    heuristic. quality says "syntax" where a syntax chunker cut."""
     if source is None or reason in ("too_large", "binary"):
         return [], "ok", "skipped"
     if reason is None and language in CHUNKERS:
         try:
-            found = CHUNKERS[language](source)
+            with time_limit(PARSE_SECONDS):
+                found = CHUNKERS[language](source)
             if found:
-                return found, "ok", "tree_sitter"
-        except (SyntaxError, ValueError, RecursionError):
+                return found, "ok", "syntax"
+        except (SyntaxError, ValueError, RecursionError, MemoryError, TimeoutError):
             return heuristic(source), "crashed_fallback", "heuristic_fallback"
     return heuristic(source), "heuristic_fallback", "heuristic_fallback"
 
