@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -138,6 +140,22 @@ class Embedder(Protocol):
     def embed_batch(self, texts: list[str]) -> np.ndarray: ...
 
 
+class HashEmbedder:
+    """A deterministic stand-in for a model: words hashed to signed dimensions, at unit length, so
+    that texts with the same words are near each other."""
+
+    def __init__(self, dimensions: int = 384):
+        self.dimensions = dimensions
+
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimensions))
+        for i, t in enumerate(texts):
+            for w in re.findall(r"\w+", t.lower()):
+                h = zlib.crc32(w.encode())
+                out[i, h % self.dimensions] += 1.0 if h >> 31 else -1.0
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), EPSILON)
+
+
 class SidecarEmbedder:
     """Placeholder for a model served beside the cluster; it can't be used yet."""
 

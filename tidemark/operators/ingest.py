@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions import scalar
+from tidemark.functions.text import to_tsvector
 from tidemark.functions.vector import stub_embedding
 from tidemark.operators import chunk, scrub
 
-REPLACED = ("content", "content_hash", "embedding", "context_breadcrumb", "metadata", "parse_status", "secrets_status", "updated_at")
+REPLACED = ("content", "content_hash", "embedding", "tsv", "context_breadcrumb", "metadata", "parse_status", "secrets_status", "updated_at")
 GITLINK = "160000"
 
 
@@ -25,8 +26,11 @@ def without_gitlinks(entries: DataFrame) -> DataFrame:
 
 
 def changed_entries(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """(path, status) between two snapshots (path, content_hash). Without an old one everything is
-    added; else what is new or differs is modified, and what is gone is deleted (a rename is both)."""
+    """(path, status) between two snapshots (path, content_hash, perhaps mode). Without an old one
+    everything is added; else what is new or differs is modified, and what is gone is deleted (a
+    rename is both). Submodules, told by their mode, are no entries on either side."""
+    new = without_gitlinks(new)
+    old = None if old is None else without_gitlinks(old)
     if old is None:
         return new.select("path", F.lit("added").alias("status"))
     o, n = old.select("path", F.col("content_hash").alias("o")), new.select("path", F.col("content_hash").alias("n"))
@@ -38,9 +42,13 @@ def changed_entries(old: DataFrame | None, new: DataFrame) -> DataFrame:
 def merge(old: DataFrame, new: DataFrame, keys: list[str], replaced: list[str] | tuple[str, ...]) -> DataFrame:
     """old upserted with new on `keys`: where both have a row, columns in `replaced` come from new
     (nulls too) and all others stay; rows of either side alone stay as they are. One shuffle on the
-    keys; new must hold each key once."""
+    keys. new must hold each key once: a repeated one fails the query (see latest)."""
     o = old.select(*keys, F.struct(*(c for c in old.columns if c not in keys)).alias("o"))
     n = new.select(*keys, F.struct(*(c for c in old.columns if c not in keys)).alias("n"))
+    # the count uses the partitioning that the join needs anyway
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    repeated = F.raise_error(F.concat(F.lit("merge: a key occurs twice: "), F.to_json(F.struct(*keys))))
+    n = n.withColumn("_p", place).withColumn("n", F.when(F.col("_p") > 1, repeated.cast(n.schema["n"].dataType)).otherwise(F.col("n"))).drop("_p")
     both = o.join(n, keys, "full_outer")
 
     def pick(c: str) -> Column:
@@ -92,12 +100,14 @@ def cascade(sources: DataFrame, chunks: DataFrame, states: DataFrame, deleted: D
 
 def advance_cursors(states: DataFrame, moved: DataFrame) -> DataFrame:
     """sync_states after moved(source_id, key, value, at): cursor[key] = value, status idle; a null
-    value changes nothing; a source without a state gets one."""
-    m = moved.filter("value is not null").select("source_id", "key", "value", F.col("at").alias("moved_at"))
+    value changes nothing; a source without a state gets one. A source may move several keys; of
+    several values for one key the last by `at` counts (then the greatest)."""
+    some = moved.filter("value is not null").groupBy("source_id", "key").agg(F.max(F.struct("at", "value")).alias("last"))
+    m = some.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "last.value"))).alias("moved"), F.max("last.at").alias("moved_at"))
     both = states.join(m, "source_id", "full_outer")
-    kept = F.map_filter(F.coalesce("cursor", F.create_map().cast("map<string,string>")), lambda k, _: ~F.coalesce(k == F.col("key"), F.lit(False)))
-    cursor = F.when(F.col("key").isNull(), F.col("cursor")).otherwise(F.map_concat(kept, F.create_map("key", "value")))
-    hit = F.col("key").isNotNull()
+    kept = F.map_filter(F.coalesce("cursor", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(F.col("moved"), k))
+    hit = F.col("moved").isNotNull()
+    cursor = F.when(hit, F.map_concat(kept, "moved")).otherwise(F.col("cursor"))
     return both.select("source_id", cursor.alias("cursor"), F.when(hit, "idle").otherwise(F.col("status")).alias("status"), F.when(hit, F.col("moved_at")).otherwise(F.col("last_synced_at")).alias("last_synced_at"))
 
 
@@ -126,10 +136,25 @@ def raw_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def chunk_table(raw: DataFrame, now: Column, embed: Callable[[Column], Column] | None = None, known: DataFrame | None = None) -> DataFrame:
-    """Rows of the chunk table out of raw rows: scrub, chunk, embed. With `known` (chunk table), a
-    chunk whose key and hash it has keeps that embedding instead of being embedded again."""
-    rows = chunk.chunk_rows(scrub.scrub_rows(raw))
+def insert_raw(rows: list[dict], spark: SparkSession) -> DataFrame:
+    """Raw rows out of dicts, checked one by one: required columns there, domains kept. ValueError
+    names the first that is wrong; binary content is left out."""
+    for i, row in enumerate(rows):
+        missing = [f.name for f in model.RAW_FILES if not f.nullable and row.get(f.name) is None]
+        unknown = sorted(set(row) - set(model.RAW_FILES.fieldNames()))
+        if missing or unknown:
+            raise ValueError(f"row {i}: " + ", ".join([*(f"{c} is missing" for c in missing), *(f"{c} is unknown" for c in unknown)]))
+        if row["source_type"] not in model.SOURCE_TYPES:
+            raise ValueError(f"row {i}: source_type is outside its domain: {row['source_type']}")
+    df = spark.createDataFrame([tuple(row.get(c) for c in model.RAW_FILES.fieldNames()) for row in rows], model.RAW_FILES)
+    return df.filter(~F.coalesce(scalar.is_binary(F.col("raw_content").cast("binary")), F.lit(False)))
+
+
+def chunk_table(raw: DataFrame, now: Column, embed: Callable[[Column], Column] | None = None, known: DataFrame | None = None, scrubbed: bool = False) -> DataFrame:
+    """Rows of the chunk table out of raw rows: scrub (unless they come scrubbed), chunk, embed, and
+    store the search vector. With `known` (chunk table), a chunk whose key and hash it has keeps
+    that embedding instead of being embedded again."""
+    rows = chunk.chunk_rows(raw if scrubbed else scrub.scrub_rows(raw))
     embed = embed or (lambda text: stub_embedding(text, model.DIMENSIONS))
     text = scalar.with_breadcrumb(F.col("context_breadcrumb"), F.col("content"))
     if known is None:
@@ -139,6 +164,7 @@ def chunk_table(raw: DataFrame, now: Column, embed: Callable[[Column], Column] |
         joined = rows.join(have, ["source_id", "chunk_key", "content_hash"], "left")
         kept, todo = joined.filter("have is not null").withColumnRenamed("have", "embedding"), joined.filter("have is null").drop("have")
         vectors = kept.unionByName(todo.withColumn("embedding", embed(text).cast("array<float>")))
+    vectors = vectors.withColumn("tsv", to_tsvector(F.col("context_breadcrumb"), F.col("content")))
     identity = F.sha2(F.concat_ws("|", "source_id", "chunk_key"), 256)
     uuid = F.concat_ws("-", *(F.substring(identity, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     return vectors.withColumn("id", uuid).withColumn("inserted_at", now).withColumn("updated_at", now).select(*model.CHUNKS.fieldNames())

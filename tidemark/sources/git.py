@@ -1,11 +1,13 @@
-"""Git mirrors on the driver's disk, as snapshot tables."""
+"""Git mirrors in a folder that all executors see, as snapshot tables."""
 
 from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import scalar
@@ -56,7 +58,8 @@ class Mirror:
 
     def snapshot(self, spark: SparkSession, source_id: str, ref: str = "HEAD") -> DataFrame:
         """files(source_id, repo, ref, path, content) of a ref: blobs up to MAX_FILE_BYTES, as bytes;
-        submodules aren't blobs."""
+        submodules aren't blobs. The driver lists them; tasks read their contents from the mirror, one
+        git process a batch."""
         sha = self.head(ref)
         rows = []
         for record in self._at("ls-tree", "-r", "-l", "-z", sha).split(b"\0") if sha else []:
@@ -65,5 +68,24 @@ class Mirror:
             info, _, path = record.partition(b"\t")
             mode, kind, blob, size = info.split()
             if kind == b"blob" and int(size) <= scalar.MAX_FILE_BYTES:
-                rows.append((source_id, self.slug, ref, path.decode("utf-8", "replace"), bytearray(self._at("cat-file", "blob", blob.decode()))))
-        return spark.createDataFrame(rows, "source_id string, repo string, ref string, path string, content binary")
+                rows.append((source_id, self.slug, ref, path.decode("utf-8", "replace"), blob.decode()))
+        listed = spark.createDataFrame(rows, "source_id string, repo string, ref string, path string, blob string")
+        return listed.mapInPandas(_contents(str(self.dir), self.timeout), "source_id string, repo string, ref string, path string, content binary")
+
+
+def _contents(mirror: str, timeout: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            asked = "".join(f"{b}\n" for b in batch["blob"]).encode()
+            done = subprocess.run(["git", "--git-dir", mirror, "cat-file", "--batch"], input=asked, capture_output=True, timeout=timeout)
+            if done.returncode:
+                raise GitError(f"git cat-file ended with {done.returncode}")
+            out, at = [], 0
+            for _ in range(len(batch)):
+                end = done.stdout.index(b"\n", at)
+                size = int(done.stdout[at:end].split()[2])
+                out.append(done.stdout[end + 1 : end + 1 + size])
+                at = end + size + 2
+            yield batch.drop(columns="blob").assign(content=out)
+
+    return run

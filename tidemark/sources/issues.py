@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalar
+from tidemark.sources import http
 
 RESOLVED = ("Resolved", "Closed", "Done")
 _BODY = "issues array<struct<key:string, fields:struct<summary:string, description:string, status:struct<name:string>, resolutiondate:string>>>"
@@ -21,6 +22,19 @@ def jql(project: str, since: str | None) -> str:
     return f'project = "{project}" AND status in ({", ".join(RESOLVED)}){bound} ORDER BY resolutiondate ASC'
 
 
+def fetch(spark: SparkSession, get: http.Get, project: str, since: str | None, page: int = 50) -> DataFrame:
+    """Search answers (body) of resolved issues since a watermark, page by page, by a client
+    get(path, params) that is handed in. A limit on requests ends it with http.Snooze."""
+    bodies, start = [], 0
+    while True:
+        found = http.body(get("/rest/api/3/search", {"jql": jql(project, since), "startAt": start, "maxResults": page}))
+        bodies.append((json.dumps(found),))
+        got = len(found.get("issues") or [])
+        start += got
+        if not got or start >= found.get("total", start):
+            return spark.createDataFrame(bodies, "body string")
+
+
 def adf_text(node: object) -> str:
     """Text of a rich-text tree: text nodes in order, hard breaks as newlines, all else nothing."""
     if isinstance(node, str):
@@ -63,10 +77,10 @@ def resolved_since(issues: DataFrame, since: str | None) -> DataFrame:
     return (out if since is None else out.filter(F.col("resolutiondate") >= since)).orderBy("resolutiondate")
 
 
-def raw_rows(issues: DataFrame, source_id: str) -> DataFrame:
+def raw_rows(issues: DataFrame, source_id: str | Column) -> DataFrame:
     """Raw rows of parsed issues."""
     return issues.select(
-        F.lit(source_id).alias("source_id"), F.lit("jira_project").alias("source_type"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("lang"),
+        (source_id if isinstance(source_id, Column) else F.lit(source_id)).alias("source_id"), F.lit("jira_project").alias("source_type"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("lang"),
         scalar.natural_key("jira", F.col("key")).alias("natural_key"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("raw_content"),
         F.create_map(F.lit("issue_key"), F.col("key"), F.lit("resolutiondate"), F.col("resolutiondate")).alias("metadata"),
     )
