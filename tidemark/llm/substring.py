@@ -18,7 +18,7 @@ WINDOW = 50  # words
 ANCHOR = 10  # words of an anchor; each window holds WINDOW - ANCHOR + 1 of them
 DEPTH = 2  # rows of the sketch
 SHARD_BITS = 20  # counters of a row of a sketch shard, as a power of two
-PART_BYTES = 32 << 20  # text of a part of the corpus, on average
+PART_BYTES = 2 << 20  # text of a part of the corpus, on average
 HOT = 20_000  # occurrences from which a window's places are aggregated before they are shuffled
 
 _ROW_SEEDS = [np.uint64((0xD1B54A32D192ED03 * (2 * i + 1)) % (1 << 64)) for i in range(DEPTH)]
@@ -140,55 +140,96 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("part").filter(pa.array(keep)), pa.array(anchor[keep].view(np.int64)), pa.array(often[keep])], ["part", "anchor", "hot"])
 
 
-def _window_rows(part: pa.RecordBatch, known: np.ndarray) -> pa.RecordBatch:
-    """The windows whose least anchor is known: two hashes of the window, document and place. The
-    place holds 31 bits that tell texts with one doc_id apart, then the first word's number."""
+def _window_runs(part: pa.RecordBatch, known: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    """Runs of windows in a row with one known anchor: anchor, document, place of the first window,
+    the windows' 128-bit hashes (all first halves, then all second ones), and whether the anchor is
+    hot. A place holds 31 bits that tell texts with one doc_id apart, then the first word's number."""
     words = tk.Words(part.column("text"))
     _, least, _, _ = _anchors(words)
     slot = np.minimum(np.searchsorted(known, least), max(len(known) - 1, 0))
     keep = known[slot] == least if len(known) else np.zeros(len(least), bool)
     h, at = words.windows(WINDOW)
     g = tk.windows(tk.mix(words.hash ^ _SECOND), words.ptr, WINDOW)[0][keep] if keep.any() else h[keep]
-    h, at = h[keep], at[keep]
+    h, at, least, slot = h[keep], at[keep], least[keep], slot[keep]
     row = np.searchsorted(words.ptr, at, "right") - 1
-    doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-    tid = (part.column("tid").to_numpy(zero_copy_only=False).astype(np.int64) >> 33) & 0x7FFFFFFF
-    place = tid[row] << 32 | (at - words.ptr[row])
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc[row].astype(np.int64)), pa.array(place)], ["h", "g", "doc_id", "place"])
-
-
-def _suspected(hot: bool) -> Callable:
-    """Windows with a suspected anchor, hot or not. A part's anchors come before its texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, gathered, known = None, [], None
-        for batch in batches:
-            of, late = batch.column("part").to_numpy(), batch.column("late").to_numpy(zero_copy_only=False)
-            for lo, hi in _runs_of(of, late):
-                if of[lo] != now:
-                    now, gathered, known = of[lo], [], None
-                part = batch.slice(lo, hi - lo)
-                if not late[lo]:
-                    part = part.filter(part.column("hot") if hot else pc.invert(part.column("hot")))
-                    gathered.append(part.column("anchor").to_numpy())
-                    continue
-                if known is None:
-                    known = np.sort(np.concatenate(gathered).view(np.uint64)) if gathered else np.zeros(0, np.uint64)
-                for piece in tk.slices(part, "text") if len(known) else ():
-                    rows = _window_rows(piece, known)
-                    if rows.num_rows:
-                        yield rows
-
-    return run
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at)))
+    doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row[first]].astype(np.int64)
+    tid = (part.column("tid").to_numpy(zero_copy_only=False)[row[first]].astype(np.int64) >> 33) & 0x7FFFFFFF
+    place = tid << 32 | (at[first] - words.ptr[row[first]])
+    # both halves of a run side by side: run i has its 16 * size[i] bytes at 16 * first[i]
+    data = np.empty(2 * len(at), np.uint64)
+    within = np.arange(len(at)) - np.repeat(first, size)
+    base = np.repeat(2 * first, size) + within
+    data[base], data[base + np.repeat(size, size)] = h, g
+    ends = np.concatenate([[0], 16 * np.cumsum(size)]).astype(np.int32)
+    hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(doc), pa.array(place), hashes, pa.array(often[slot[first]])], ["anchor", "doc_id", "place", "hashes", "hot"])
+
+
+def _suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows with suspected anchors. A part's anchors come before its texts."""
+    now, gathered, known, often = None, [], None, None
+    for batch in batches:
+        of, late = batch.column("part").to_numpy(), batch.column("late").to_numpy(zero_copy_only=False)
+        for lo, hi in _runs_of(of, late):
+            if of[lo] != now:
+                now, gathered, known = of[lo], [], None
+            part = batch.slice(lo, hi - lo)
+            if not late[lo]:
+                gathered.append((part.column("anchor").to_numpy(), part.column("hot").to_numpy(zero_copy_only=False)))
+                continue
+            if known is None:
+                known = np.concatenate([x for x, _ in gathered]).view(np.uint64) if gathered else np.zeros(0, np.uint64)
+                order = np.argsort(known)
+                known, often = known[order], np.concatenate([x for _, x in gathered]).astype(bool)[order] if gathered else np.zeros(0, bool)
+            for piece in tk.slices(part, "text") if len(known) else ():
+                rows = _window_runs(piece, known, often)
+                if rows.num_rows:
+                    yield rows
+
+
+def _unpacked(runs: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, g, doc, place) of each window in runs."""
+    hashes = runs.column("hashes")
+    hashes = hashes.combine_chunks() if isinstance(hashes, pa.ChunkedArray) else hashes
+    size = pc.binary_length(hashes).to_numpy(zero_copy_only=False).astype(np.int64) // 16
+    data = np.frombuffer(b"".join(hashes.to_pylist()), np.int64)
+    first = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(first, size)
+    base = np.repeat(2 * first, size) + within
+    doc, place = (np.repeat(runs.column(c).to_numpy(), size) for c in ("doc_id", "place"))
+    return data[base], data[base + np.repeat(size, size)], doc, place + within
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs as one row a window."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(batch)], ["h", "g", "doc_id", "place"])
+
+
+def _pieces(doc: np.ndarray, place: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
+    """Repeated windows to runs of neighbours: (doc_id, place of the first, place of the last, how
+    many are later)."""
+    order = np.lexsort((later, place, doc))
+    doc, place, later = doc[order], place[order], later[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(doc)) - 1
+    count = np.add.reduceat(later.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(place[first]), pa.array(place[last]), pa.array(count)], ["doc_id", "place", "until", "later"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows whose hash is here twice or more; a partition holds all windows of its hashes."""
+    """Windows that are here twice or more, as runs; a partition holds all windows of its anchors."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    whole = pa.Table.from_batches(parts)
-    h, g, doc, place = (whole.column(c).to_numpy() for c in ("h", "g", "doc_id", "place"))
+    h, g, doc, place = _unpacked(pa.Table.from_batches(parts))
     order = np.argsort(h, kind="stable")
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[order][1:] == h[order][:-1]
@@ -199,29 +240,36 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     later = np.zeros(len(h) + 1, bool)
     later[1:-1] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
     again = later[:-1] | later[1:]
-    later, doc, place = later[:-1][again], doc[again], place[again]
-    for lo in range(0, len(doc), 200_000):
-        to = slice(lo, lo + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[to]), pa.array(place[to]), pa.array(later[to])], ["doc_id", "place", "later"])
+    yield _pieces(doc[again], place[again], later[:-1][again])
+
+
+def _hot_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _pieces(batch.column("doc_id").to_numpy(), batch.column("place").to_numpy(), batch.column("later").to_numpy(zero_copy_only=False))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of whole documents to maximal runs of words that windows cover."""
+    """Runs of windows of whole documents to maximal runs of words that windows cover."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     whole = pa.Table.from_batches(parts)
-    doc, place, later = (whole.column(c).to_numpy() for c in ("doc_id", "place", "later"))
-    order = np.lexsort((later, place, doc))
-    doc, place, later = doc[order], place[order], later[order]
-    pos = place & 0xFFFFFFFF
+    doc, place, until, later = (whole.column(c).to_numpy() for c in ("doc_id", "place", "until", "later"))
+    order = np.lexsort((until, place, doc))
+    doc, place, until, later = doc[order], place[order], until[order], later[order]
+    # runs may overlap where a document's rows are repeated: look back to the farthest end so far
+    one = np.cumsum(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    rank = np.unique(until, return_inverse=True)[1].astype(np.int64)
+    far = np.maximum.accumulate(one.astype(np.int64) * (len(until) + 1) + rank)
+    reach = np.unique(until)[far - one * (len(until) + 1)]
     fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + WINDOW)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (place[1:] > reach[:-1] + WINDOW)
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(doc)) - 1
+    start, end = place[first] & 0xFFFFFFFF, (reach[last] & 0xFFFFFFFF) + WINDOW
     yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[first]), pa.array(pos[first].astype(np.int32)), pa.array((pos[last] + WINDOW).astype(np.int32)), pa.array(np.add.reduceat(later.astype(np.int64), first))],
-        ["doc_id", "start_word", "end_word", "later_windows"],
+        [pa.array(doc[first]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.add.reduceat(later, first))], ["doc_id", "start_word", "end_word", "later_windows"]
     )
 
 
@@ -236,9 +284,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     always shows two or more. Anchors are probed in their shard's task, and those that pass go back
     to the part of the corpus that has them, once a part. Pass two sends only windows with such an
     anchor to an exact grouping by 128 bits of window hash, so none is lost and false alarms of the
-    sketch vanish. The sketch is never sent to the driver or broadcast, at any size of the corpus.
-    Windows whose anchor the sketch counts HOT times are grouped by aggregating before the shuffle
-    and joined with their first place; the others' places meet in one task.
+    sketch vanish; they travel in runs that share an anchor, to the task of that anchor. The sketch
+    is never sent to the driver or broadcast, at any size of the corpus. Windows whose anchor the
+    sketch counts HOT times are dealt out to all tasks, aggregated before they are shuffled, and
+    joined with their first place.
 
     Null texts and texts of fewer than WINDOW words have no windows; rows with a null doc_id are
     left out. Repeated rows count as separate occurrences, in runs that they share; different texts
@@ -248,6 +297,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    texts = texts.filter(F.length("text") >= 2 * WINDOW - 1)  # shorter ones can't hold a window
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one word in 6 bytes and a chosen anchor in 20 words; four counters an anchor and row
     shards = max(1, int(total / 120 * 4) >> SHARD_BITS)
@@ -263,14 +313,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     suspects = materialize(both.repartition("shard").sortWithinPartitions("shard", "late").mapInArrow(_probe, "part int, anchor long, hot boolean"), "suspects")
     met = suspects.withColumn("late", F.lit(False)).unionByName(dealt.withColumn("late", F.lit(True)), allowMissingColumns=True)
     ordered = met.repartition("part").sortWithinPartitions("part", "late")
-    schema = "h long, g long, doc_id long, place long"
-    repeats = ordered.mapInArrow(_suspected(False), schema).repartition("h").mapInArrow(_repeats, "doc_id long, place long, later boolean")
+    runs = ordered.mapInArrow(_suspected, "anchor long, doc_id long, place long, hashes binary, hot boolean")
+    # one shuffle serves both: an anchor's windows to one task, those of hot anchors to any
+    dealt_runs = runs.repartition(F.when(F.col("hot"), F.xxhash64("doc_id", "place")).otherwise(F.col("anchor")))
+    columns = ["doc_id", "place", "hashes"]
+    piece = "doc_id long, place long, until long, later long"
+    pieces = dealt_runs.filter("not hot").select(*columns).mapInArrow(_repeats, piece)
     if not suspects.filter("hot").isEmpty():
-        hot = materialize(ordered.mapInArrow(_suspected(True), schema), "hot_windows")
+        hot = dealt_runs.filter("hot").select(*columns).mapInArrow(_windows, "h long, g long, doc_id long, place long")
         first = hot.groupBy("h", "g").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
         later = F.struct("doc_id", "place") > F.col("first")
-        repeats = repeats.unionByName(hot.join(first, ["h", "g"]).select("doc_id", "place", later.alias("later")))
-    by_text = repeats.withColumn("text_bits", F.shiftright("place", 32))
+        pieces = pieces.unionByName(hot.join(first, ["h", "g"]).select("doc_id", "place", later.alias("later")).mapInArrow(_hot_pieces, piece))
+    by_text = pieces.withColumn("text_bits", F.shiftright("place", 32))
     return by_text.repartition("doc_id", "text_bits").mapInArrow(_spans, "doc_id long, start_word int, end_word int, later_windows long")
 
 
