@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MATCHER_KEYS = ("repo", "path_prefix", "breadcrumb_substring")
@@ -68,6 +68,29 @@ def percentile(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p / 100!r}) within group (order by {column})")
 
 
+def percentiles(rows: DataFrame, group: str, column: str, points: tuple[float, ...], cuts: int = 256) -> DataFrame:
+    """(group, p<point>, ...): exact nearest-rank percentiles of each group, for groups of any size.
+
+    percentile() holds a group's distinct values in one task. Here a sketch only cuts each group into
+    about `cuts` ranges; exact counts tell which range holds each rank, and only those ranges (one a
+    point) are sorted. Null values count nowhere; a group of nulls only has null percentiles."""
+    some = rows.select(F.col(group).alias("g"), F.col(column).alias("v"))
+    edges = some.groupBy(F.col("g").alias("eg")).agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], cuts * 8).alias("edges"), F.count("v").alias("n"))
+    known = F.col("v").isNotNull()
+    placed = some.filter(known).join(edges, F.col("g").eqNullSafe(F.col("eg"))).select("g", "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range"))
+    values = placed.groupBy("g", "range", "v", "n").agg(F.count("*").alias("c"))
+    below = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = values.groupBy("g", "range", "n").agg(F.sum("c").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0)))
+    rank = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.lit(p) * F.col("n") / 100)))
+    asked = ranges.select("g", "range", "before", "held", F.explode(F.array(*(F.struct(F.lit(float(p)).alias("point"), rank(p).cast("long").alias("rank")) for p in points))).alias("a"))
+    hit = asked.select(F.col("g").alias("hg"), F.col("range").alias("hr"), "before", "held", "a.*").filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("held"))).drop("held")
+    there = F.col("g").eqNullSafe(F.col("hg")) & (F.col("range") == F.col("hr"))
+    upto = Window.partitionBy("g", "point").orderBy("v")
+    found = values.join(hit, there).withColumn("upto", F.col("before") + F.sum("c").over(upto)).filter(F.col("upto") >= F.col("rank")).groupBy("g", "point").agg(F.min("v").alias("v"))
+    wide = found.groupBy(F.col("g").alias("wg")).agg(*(F.max(F.when(F.col("point") == float(p), F.col("v"))).alias(f"p{p:g}") for p in points))
+    return edges.select("eg").join(wide, F.col("eg").eqNullSafe(F.col("wg")), "left").select(F.col("eg").alias(group), *(f"p{p:g}" for p in points))
+
+
 def percentile_rank(values: list[float], p: float) -> float | None:
     """The nearest-rank percentile of a list."""
     if not values:

@@ -232,9 +232,9 @@ WITH lines AS (
   SELECT source AS repo, 'docs/' || doc_id || '.txt' AS path, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS text, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS line FROM documents
 )
 SELECT repo, path, CAST(line AS INTEGER) AS line, text FROM lines WHERE regexp_matches(text, 'tha[a-z]*ing')
-QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY line) <= 3""")
+QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY line) <= 100""")
 def grep_lines(spark, sf_dir):
-    return text_search.grep_lines(files(spark, sf_dir), "tha[a-z]*ing", per_file=3)
+    return text_search.grep_lines(files(spark, sf_dir, spread=True), "tha[a-z]*ing")
 
 
 @query("SELECT source AS repo, 'docs/' || doc_id || '.txt' AS path, 'HEAD' AS ref, text AS content, octet_length(encode(text)) > 5000000 AS too_large FROM documents WHERE source = 'src7' AND doc_id = 7")
@@ -431,8 +431,7 @@ def ndcg_at_k(spark, sf_dir):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def percentiles(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(*(metrics.percentile("value", p).alias(f"p{p}") for p in (50, 95, 99)))
+    return metrics.percentiles(table(spark, sf_dir, "events"), "event_type", "value", (50, 95, 99))
 
 
 @query("""WITH s AS (SELECT c_custkey, list_filter([c_custkey % 11, c_custkey % 7, c_nationkey], lambda x: x % 2 = 0) AS a, list_filter([c_custkey % 5, c_nationkey], lambda x: x % 2 = 0) AS b FROM customer)
