@@ -145,7 +145,7 @@ def test_nearest_against_brute_force(spark):
 def test_cosine_to_equals_cosine_distance(spark):
     q = [0.5, -1.0, 2.0]
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, 0.0, 0.0]), (3, [1.0, 2.0]), (4, None), (5, [1.0, 2.0, 3.0, 4.0]), (6, [1.0, None, 3.0])], "id int, v array<double>")
-    got = {r["id"]: (r["a"], r["b"]) for r in df.select("id", vector.cosine_to(F.col("v"), q).alias("a"), vector.cosine_distance(F.col("v"), F.array(*map(F.lit, q))).alias("b")).collect()}
+    got = {r["id"]: (r["a"], r["b"]) for r in df.select("id", vector.cosine_to("v", q).alias("a"), vector.cosine_distance(F.col("v"), F.array(*map(F.lit, q))).alias("b")).collect()}
     assert got[1][0] == pytest.approx(got[1][1]) and got[2][0] != got[2][0] and [got[i][0] for i in (3, 4, 5, 6)] == [None] * 4
 
 

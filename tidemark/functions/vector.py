@@ -24,22 +24,23 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(scale == 0, F.lit(float("nan"))).otherwise(1.0 - dot(a, b) / scale)
 
 
-def cosine_to(a: Column, query: list[float]) -> Column:
+def cosine_to(column: str, query: list[float]) -> Column:
     """cosine_distance of an array column to one vector, unrolled: plain arithmetic on elements, which
-    runs in generated code, where lambdas over arrays are interpreted. Null for another length."""
+    runs in generated code, where lambdas over arrays are interpreted. Null for another length.
+    Written as one SQL text: a call to the JVM for each operator would take longer than the scan."""
     q = [float(x) for x in query]
     norm = float(np.sqrt(sum(x * x for x in q)))
 
-    def total(terms: list[Column]) -> Column:
+    def total(terms: list[str]) -> str:
         # runs of a few terms, so that no single expression gets too deep
         while len(terms) > 1:
-            terms = [sum(terms[i + 1 : i + 16], terms[i]) for i in range(0, len(terms), 16)]
-        return terms[0] if terms else F.lit(0.0)
+            terms = ["(" + " + ".join(terms[i : i + 16]) + ")" for i in range(0, len(terms), 16)]
+        return terms[0] if terms else "0D"
 
-    x = [F.get(a, F.lit(i)).cast("double") for i in range(len(q))]
-    scale = F.sqrt(total([v * v for v in x])) * F.lit(norm)
-    distance = F.when(scale == 0, F.lit(float("nan"))).otherwise(1.0 - total([v * F.lit(p) for v, p in zip(x, q)]) / scale)
-    return F.when(F.size(a) == len(q), distance)
+    x = [f"cast(get(`{column}`, {i}) as double)" for i in range(len(q))]
+    scale = f"sqrt({total([f'{v} * {v}' for v in x])}) * {norm!r}D"
+    dot = total([f"{v} * ({p!r}D)" for v, p in zip(x, q)])
+    return F.expr(f"case when size(`{column}`) = {len(q)} then case when {scale} = 0 then double('NaN') else 1D - {dot} / ({scale}) end end")
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:

@@ -68,27 +68,36 @@ def percentile(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p / 100!r}) within group (order by {column})")
 
 
-def percentiles(rows: DataFrame, group: str, column: str, points: tuple[float, ...], cuts: int = 256) -> DataFrame:
+def percentiles(rows: DataFrame, group: str, column: str, points: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
     """(group, p<point>, ...): exact nearest-rank percentiles of each group, for groups of any size.
 
-    percentile() holds a group's distinct values in one task. Here a sketch only cuts each group into
-    about `cuts` ranges; exact counts tell which range holds each rank, and only those ranges (one a
-    point) are sorted. Null values count nowhere; a group of nulls only has null percentiles."""
+    percentile() holds a group's distinct values in one task. Here a sketch with rank error 1 / accuracy
+    only says between which two values each point lies; what is below them is counted exactly, and
+    only the values between them, a few in `accuracy`, are sorted. A rank outside its bounds would
+    fail the query. Null values count nowhere; a group of nulls only has null percentiles."""
     some = rows.select(F.col(group).alias("g"), F.col(column).alias("v"))
-    edges = some.groupBy(F.col("g").alias("eg")).agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], cuts * 8).alias("edges"), F.count("v").alias("n"))
-    known = F.col("v").isNotNull()
-    placed = some.filter(known).join(edges, F.col("g").eqNullSafe(F.col("eg"))).select("g", "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range"))
-    values = placed.groupBy("g", "range", "v", "n").agg(F.count("*").alias("c"))
-    below = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = values.groupBy("g", "range", "n").agg(F.sum("c").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0)))
-    rank = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.lit(p) * F.col("n") / 100)))
-    asked = ranges.select("g", "range", "before", "held", F.explode(F.array(*(F.struct(F.lit(float(p)).alias("point"), rank(p).cast("long").alias("rank")) for p in points))).alias("a"))
-    hit = asked.select(F.col("g").alias("hg"), F.col("range").alias("hr"), "before", "held", "a.*").filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("held"))).drop("held")
-    there = F.col("g").eqNullSafe(F.col("hg")) & (F.col("range") == F.col("hr"))
-    upto = Window.partitionBy("g", "point").orderBy("v")
-    found = values.join(hit, there).withColumn("upto", F.col("before") + F.sum("c").over(upto)).filter(F.col("upto") >= F.col("rank")).groupBy("g", "point").agg(F.min("v").alias("v"))
-    wide = found.groupBy(F.col("g").alias("wg")).agg(*(F.max(F.when(F.col("point") == float(p), F.col("v"))).alias(f"p{p:g}") for p in points))
-    return edges.select("eg").join(wide, F.col("eg").eqNullSafe(F.col("wg")), "left").select(F.col("eg").alias(group), *(f"p{p:g}" for p in points))
+    ends = [(max(p / 100 - 3 / accuracy, 0.0), min(p / 100 + 3 / accuracy, 1.0)) for p in points]
+    near = F.percentile_approx("v", [e for pair in ends for e in pair], accuracy)
+    sketched = some.groupBy(F.col("g").alias("eg")).agg(F.count("v").alias("n"), near.alias("near"), F.min("v").alias("least"), F.max("v").alias("most"))
+    low = lambda i: F.col("least") if ends[i][0] == 0 else F.col("near")[2 * i]
+    high = lambda i: F.col("most") if ends[i][1] == 1 else F.col("near")[2 * i + 1]
+    rank = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.lit(p) * F.col("n") / 100))).cast("long")
+    bounds = [c for i, p in enumerate(points) for c in (low(i).alias(f"low{i}"), high(i).alias(f"high{i}"), rank(p).alias(f"rank{i}"))]
+    stats = sketched.select("eg", "n", *bounds)
+    met = some.filter("v is not null").join(stats, F.col("g").eqNullSafe(F.col("eg")))
+    every = range(len(points))
+    below = met.groupBy(F.col("eg").alias("bg")).agg(F.array(*(F.count_if(F.col("v") < F.col(f"low{i}")) for i in every)).alias("below"))
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high"), F.col(f"rank{i}").alias("rank")) for i in every)))
+    within = reduce(lambda x, y: x | y, (F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}")) for i in every))
+    few = met.filter(within).select("eg", "v", asked.alias("a")).filter(F.col("v").between(F.col("a.low"), F.col("a.high")))
+    values = few.groupBy("eg", "v", "a.i", "a.rank").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("eg", "i").orderBy("v")
+    counted = values.join(below, F.col("eg").eqNullSafe(F.col("bg"))).withColumn("upto", F.get("below", F.col("i")) + F.sum("c").over(upto))
+    hit = (F.col("upto") >= F.col("rank")) & (F.get("below", F.col("i")) < F.col("rank"))
+    found = counted.groupBy(F.col("eg").alias("wg")).agg(*(F.min(F.when(hit & (F.col("i") == i), F.col("v"))).alias(f"v{i}") for i in every))
+    whole = sketched.select("eg", "n").join(found, F.col("eg").eqNullSafe(F.col("wg")), "left")
+    sure = lambda i: F.when((F.col("n") > 0) & F.col(f"v{i}").isNull(), F.raise_error(F.lit("a percentile lies outside its bounds")).cast("double")).otherwise(F.col(f"v{i}"))
+    return whole.select(F.col("eg").alias(group), *(sure(i).alias(f"p{p:g}") for i, p in enumerate(points)))
 
 
 def percentile_rank(values: list[float], p: float) -> float | None:
