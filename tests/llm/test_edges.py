@@ -146,6 +146,33 @@ def test_line_dedup_of_single_long_lines(spark):
     assert got == [long, "a\nb", texts[2], "c\n\nd", texts[4], texts[5], texts[6], ""]
 
 
+HUGE = "\n".join(" ".join(f"huge{i}x{j}" for j in range(20)) for i in range(15_000)) + "\nyou are a moron"
+
+
+@pytest.fixture(scope="module")
+def huge(spark):
+    """Texts longer than a kernel's slice, one with a copy and one with a benchmark item at its end."""
+    from tidemark.llm import textkernel
+
+    assert len(HUGE) > 1.5 * textkernel.SLICE_BYTES
+    return spark.createDataFrame([(1, HUGE), (2, HUGE + "\ntail"), (3, " ".join(f"other{i}" for i in range(300_000)) + " " + PASSAGE), (4, "short")], "doc_id long, text string").coalesce(1)
+
+
+def test_very_long_texts(spark, huge):
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    assert pairs(simhash.near_duplicates(huge)) == [(1, 1, 1), (2, 1, 1)]
+    words = 300_000 + 4
+    assert pairs(substring.repeated_passages(huge)) == [(1, 0, words, 0), (2, 0, words, words - 49)]
+    assert pairs(decontaminate.contamination(huge, items(spark))) == [(3, 1, 1.0)]
+    assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(huge).select("doc_id", "removed_lines").collect()} == {1: 0, 2: 15_001, 3: 0, 4: 0}
+    assert {r["doc_id"] for r in toxicity.score(huge, labels(spark)).collect() if r["toxic"]} == {1, 2}
+    assert quality_rules.quality(huge).count() == quality_crf.classify(huge, labels(spark)).count() == 4
+    blocks, freq = token_blocks.encode(huge)
+    sizes = {r["doc_id"]: len(r["ids"]) for r in token_blocks.decode(blocks, freq).collect()}
+    assert sizes[2] > sizes[1] > token_blocks.BLOCK_TOKENS > sizes[4]
+    assert all(r["parity"] and r["round_trip"] for r in sentencepiece_tokens.encode(huge).select("parity", "round_trip").collect())
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages(spark, edge, none, name, stage):
     last = name == corpus_pipeline.STAGES[-1][0]

@@ -53,14 +53,17 @@ def flag_listed(pages: DataFrame, listed: DataFrame, filter_limit: int = FILTER_
     of a URL. Pages whose block has all their bits are possible hits; only those take part in
     the exact join with the list, which removes false positives. Blocks are built by a grouped
     bit_or; up to filter_limit bytes they are broadcast, beyond it they are joined by a shuffle on
-    the block number.
+    the block number. So is the list itself, by its own size: broadcast, the pages are read once; else
+    pages that the filter clears take no part in the shuffle.
 
     Null URLs are never listed and keep a null canonical_url; repeated pages each give their row,
-    repeated entries of the list count once. Other columns are ignored; an empty list flags nothing.
+    repeated entries of the list count once; URLs of any length are read whole. Other columns are
+    ignored; an empty list flags nothing, an empty table of pages gives no rows.
     """
     urls = pages.select("page_id", canonical(F.col("url").cast("string")).alias("canonical_url"))
     listing = materialize(listed.select(canonical(F.col("url").cast("string")).alias("url")).filter("url is not null").distinct(), "listed_urls")
-    n = listing.count()
+    facts = listing.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("size")).first()
+    n = facts["n"]
     blocks = bloom_blocks(listing, n)
     if _block_count(n) * WORDS * 8 <= filter_limit:
         blocks = F.broadcast(blocks)
@@ -71,9 +74,12 @@ def flag_listed(pages: DataFrame, listed: DataFrame, filter_limit: int = FILTER_
         sure = sure & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) == m)
     probed = probe.withColumn("probe_key", F.when(sure & F.col("canonical_url").isNotNull(), F.col("canonical_url")))
     hits = listing.select(F.col("url").alias("probe_key"), F.lit(True).alias("listed"))
+    found = F.coalesce("listed", F.lit(False)).alias("listed")
+    if facts["size"] + 64 * n <= filter_limit:
+        return probed.join(F.broadcast(hits), "probe_key", "left").select("page_id", "canonical_url", found)
     # pages that the filter clears have a null key, which no join partner matches or moves
     cleared = probed.filter("probe_key is null").select("page_id", "canonical_url", F.lit(False).alias("listed"))
-    checked = probed.filter("probe_key is not null").join(hits, "probe_key", "left").select("page_id", "canonical_url", F.coalesce("listed", F.lit(False)).alias("listed"))
+    checked = probed.filter("probe_key is not null").join(hits, "probe_key", "left").select("page_id", "canonical_url", found)
     return cleared.unionByName(checked)
 
 
