@@ -127,8 +127,9 @@ def matryoshka(v: Column, size: int) -> Column:
 
 def stub_embedding(text: Column, size: int) -> Column:
     """A deterministic unit vector made from a text's hash, for runs without a model."""
-    hashed = F.array(F.xxhash64(text))  # in an array, so that it is taken once and not for each dimension
-    raw = F.flatten(F.transform(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.sin(F.pmod(F.xxhash64(h, i), F.lit(1 << 27)) / 1e6))))
+    # in an array, so that it is taken once and not for each dimension; 48 bits, so that products fit
+    hashed = F.array(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"))
+    raw = F.flatten(F.transform(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.sin(h * (2 * i + 1) % (1 << 27) / 1e6))))
     unit = F.transform(F.array(raw), l2_normalise)
     return F.element_at(unit, 1)
 

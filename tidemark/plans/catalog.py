@@ -182,9 +182,13 @@ def matryoshka_norm(spark, sf_dir):
     return e.select("vec_id", F.transform(vector.matryoshka(F.col("embedding"), 32), lambda x: F.round(x, 9)).alias("v"))
 
 
-@query()
+@query("""
+SELECT doc_id, list_transform(v, lambda x: round(x / n, 6)) AS embedding FROM (
+  SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
+    SELECT doc_id, list_transform(range(1, 385), lambda i: sin(h * (2 * i + 1) % 134217728 / 1e6)) AS v FROM (SELECT doc_id, CAST('0x' || substr(md5(text), 1, 12) AS BIGINT) AS h FROM documents)))""")
 def stub_embeddings(spark, sf_dir):
-    return table(spark, sf_dir, "documents", spread=True).select("doc_id", vector.stub_embedding(F.col("text"), 384).alias("embedding"))
+    unit = vector.stub_embedding(F.col("text"), 384)
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", F.transform(unit, lambda x: F.round(x, 6)).alias("embedding"))
 
 
 # ---- registry ---------------------------------------------------------------------------------
@@ -283,24 +287,31 @@ def secret_audit(spark, sf_dir):
 # ---- chunking ---------------------------------------------------------------------------------
 
 
-@query("""
-WITH RECURSIVE lines AS (
-  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents
+def _blocks_sql(source: str) -> str:
+    """lines(doc_id, n, line) and blocks(doc_id, first, last) of the texts of a relation: a block ends
+    with the line that makes it 6,000 bytes long, or, with no brace open, with a blank line or the one
+    that makes it 1,500."""
+    return f"""lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM {source}
 ), sized AS (
-  SELECT doc_id, n, octet_length(encode(line)) + 1 AS b, trim(line) = '' AS blank FROM lines
+  SELECT doc_id, n, octet_length(encode(line)) + 1 AS b, trim(line) = '' AS blank, len(replace(line, '}}', '')) - len(replace(line, '{{', '')) AS d FROM lines
 ), walk AS (
-  SELECT doc_id, n, CASE WHEN blank THEN 0 ELSE n END AS first, CASE WHEN blank THEN 0 ELSE b END AS size, CASE WHEN NOT blank AND b >= 6000 THEN 1 ELSE 0 END AS closed FROM sized WHERE n = 1
+  SELECT doc_id, n, CASE WHEN blank THEN 0 ELSE n END AS first, CASE WHEN blank THEN 0 ELSE b END AS size, CASE WHEN blank THEN 0 ELSE greatest(d, 0) END AS depth,
+    CASE WHEN NOT blank AND b >= 6000 THEN 1 ELSE 0 END AS closed FROM sized WHERE n = 1
   UNION ALL
   SELECT s.doc_id, s.n,
     CASE WHEN w.closed = 1 OR w.first = 0 THEN CASE WHEN s.blank THEN 0 ELSE s.n END ELSE w.first END,
     CASE WHEN w.closed = 1 OR w.first = 0 THEN CASE WHEN s.blank THEN 0 ELSE s.b END ELSE w.size + s.b END,
+    CASE WHEN w.closed = 1 OR w.first = 0 THEN CASE WHEN s.blank THEN 0 ELSE greatest(s.d, 0) END ELSE greatest(w.depth + s.d, 0) END,
     CASE WHEN w.closed = 1 OR w.first = 0 THEN CASE WHEN NOT s.blank AND s.b >= 6000 THEN 1 ELSE 0 END
-         ELSE CASE WHEN s.blank OR w.size + s.b >= 1500 THEN 1 ELSE 0 END END
+         ELSE CASE WHEN w.size + s.b >= 6000 OR (w.depth + s.d <= 0 AND (s.blank OR w.size + s.b >= 1500)) THEN 1 ELSE 0 END END
   FROM walk w JOIN sized s ON s.doc_id = w.doc_id AND s.n = w.n + 1
 ), blocks AS (
   SELECT w.doc_id, w.first, max(CASE WHEN NOT s.blank THEN w.n END) AS last FROM walk w JOIN sized s ON s.doc_id = w.doc_id AND s.n = w.n WHERE w.first > 0 GROUP BY w.doc_id, w.first
-)
-SELECT doc_id, CAST(first AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line FROM blocks""")
+)"""
+
+
+@query(f"WITH RECURSIVE {_blocks_sql('documents')} SELECT doc_id, CAST(first AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line FROM blocks")
 def chunk_heuristic(spark, sf_dir):
     ship(spark)
     d = table(spark, sf_dir, "documents")
@@ -323,7 +334,17 @@ def content_hash_dups(spark, sf_dir):
     return d.groupBy(scalar.sha256(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
 
 
-@query()
+@query(f"""WITH RECURSIVE scrubbed AS (
+  SELECT doc_id, source, regexp_replace(text, '{_GENERIC}', '[REDACTED:generic_secret]', 'g') AS text, CASE WHEN regexp_matches(text, '{_GENERIC}') THEN 'redacted' ELSE 'clean' END AS secrets_status FROM documents
+), {_blocks_sql('scrubbed')}, cut AS (
+  SELECT b.doc_id, b.first, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.first) - 1 AS i, string_agg(l.line, chr(10) ORDER BY l.n) AS text
+  FROM blocks b JOIN lines l ON l.doc_id = b.doc_id AND l.n BETWEEN b.first AND b.last GROUP BY b.doc_id, b.first
+), keyed AS (
+  SELECT s.source AS source_id, sha256('repo:' || s.source || ':docs/' || s.doc_id || '.txt|' || c.i || '|') AS chunk_key, sha256(c.text) AS content_hash, 'docs/' || s.doc_id || '.txt' AS context_breadcrumb,
+    'heuristic_fallback' AS parse_status, s.secrets_status FROM cut c JOIN scrubbed s USING (doc_id)
+)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id, source_id, chunk_key, content_hash, context_breadcrumb, parse_status, secrets_status
+FROM (SELECT *, sha256(source_id || '|' || chunk_key) AS h FROM keyed)""")
 def chunk_pipeline(spark, sf_dir):
     """Files to chunk rows: keyed, scrubbed, chunked, embedded."""
     ship(spark)
