@@ -6,6 +6,7 @@ documents for files and raw rows, events for jobs and latencies, labels for rele
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from tidemark.functions import scalar, vector
 from tidemark.operators import chunk as chunking
 from tidemark.operators import grep as text_search
 from tidemark.operators import hybrid, ingest, metrics, registry, scrub
-from tidemark.runtime import ship, table
+from tidemark.operators.index import SearchIndex
+from tidemark.runtime import shared_dir, ship, table
 from tidemark.sources import drive, issues
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +134,30 @@ def fts_topk(spark, sf_dir):
     return hybrid.text_leg(chunks(spark, sf_dir, spread=True), " ".join(SEARCH_WORDS), 100, "simple")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """An index of all chunks in the shared folder, built for the query."""
+    ship(spark)
+    path = f"{shared_dir(spark)}/tidemark/index-{uuid.uuid4().hex}"
+    return SearchIndex.build(chunks(spark, sf_dir, spread=True), path, "simple", buckets=16, spread=1)
+
+
+@query(f"WITH {_CHUNKS_SQL}, {_text_sql(pool=100)} SELECT id, rank FROM fts")
+def text_index_topk(spark, sf_dir):
+    return _index(spark, sf_dir).text_leg(" ".join(SEARCH_WORDS), 100)
+
+
+@query(f"WITH {_CHUNKS_SQL}, {_vector_sql(pool=50)} SELECT id, rank FROM vec")
+def vector_index_topk(spark, sf_dir):
+    """All cells read, so that the rows are the exact ones: every vector is in the index."""
+    return _index(spark, sf_dir).vector_leg(query_vector(spark, sf_dir), 50, probed=1.0)
+
+
+@query(_hybrid_sql("lang = 'en'"))
+def hybrid_index(spark, sf_dir):
+    hits = _index(spark, sf_dir).search(" ".join(SEARCH_WORDS), query_vector(spark, sf_dir), probed=1.0, lang="en")
+    return hits.select("id", "source_type", "repo", "lang", "context_breadcrumb", F.col("metadata")["path"].alias("path"), F.round("score", 9).alias("score"))
+
+
 @query(_hybrid_sql())
 def hybrid_rrf(spark, sf_dir):
     return _hybrid(spark, sf_dir)
