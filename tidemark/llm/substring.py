@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +118,7 @@ def _runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, anchor, hot) of the anchors that their shard's sketch counts twice or more. A shard's
-    sketch (row >= 0) comes before its anchors (row -1 sorts last by `late`)."""
+    sketch comes before its anchors (late)."""
     now, more, hot = None, {}, {}
     for batch in batches:
         shard, late = batch.column("shard").to_numpy(), batch.column("late").to_numpy(zero_copy_only=False)
