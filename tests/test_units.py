@@ -5,7 +5,6 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, stemmer
 from tidemark.operators import ingest, metrics, scrub
