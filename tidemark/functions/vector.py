@@ -158,6 +158,47 @@ class HashEmbedder:
         return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), EPSILON)
 
 
+def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean of the token vectors that the mask keeps: hidden (texts, tokens, dimensions), mask (texts,
+    tokens). A text without tokens gets zeros."""
+    weight = mask.astype(np.float64)[:, :, None]
+    return (hidden * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1.0)
+
+
+def unit_rows(vectors: np.ndarray, dimensions: int) -> np.ndarray:
+    """The first `dimensions` of each row at unit length; zeros stay zeros."""
+    if vectors.shape[1] < dimensions:
+        raise ValueError(f"vectors have fewer than {dimensions} dimensions")
+    cut = vectors[:, :dimensions]
+    return cut / np.maximum(np.sqrt((cut * cut).sum(axis=1, keepdims=True)), EPSILON)
+
+
+class OnnxEmbedder:
+    """A text encoder in an ONNX file with inputs input_ids, attention_mask (and token_type_ids, if it
+    asks for them) and token vectors as its first output; its tokenizer in a JSON file. Texts get
+    the prefix of their task, are cut at `longest` tokens, padded to the longest of the batch,
+    mean-pooled, cut to `dimensions` and brought to unit length."""
+
+    def __init__(self, model: str, tokenizer: str, dimensions: int = 384, prefix: str = "search_document: ", longest: int = 512):
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        self.dimensions, self.prefix = dimensions, prefix
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.tokenizer.enable_truncation(longest)
+        self.tokenizer.enable_padding()
+        self.session = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"])
+
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros((0, self.dimensions))
+        found = self.tokenizer.encode_batch([self.prefix + t for t in texts])
+        ids, mask = (np.array([getattr(x, name) for x in found], np.int64) for name in ("ids", "attention_mask"))
+        given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        asked = {i.name: given[i.name] for i in self.session.get_inputs()}
+        return unit_rows(mean_pool(self.session.run(None, asked)[0], mask), self.dimensions)
+
+
 class SidecarEmbedder:
     """Placeholder for a model served beside the cluster; it can't be used yet."""
 
@@ -167,21 +208,37 @@ class SidecarEmbedder:
         raise NotImplementedError("no embedding sidecar is configured")
 
 
+BATCH, BUCKETS = 16, (128, 256, 512)  # texts of a call; tokens to which a padded model rounds up
+
+
+def length_batches(sizes: np.ndarray, batch: int = BATCH, buckets: tuple[int, ...] = BUCKETS) -> list[np.ndarray]:
+    """Places of texts in calls of `batch` at most, from short to long, none across two buckets (by
+    an estimate of four characters a token)."""
+    order = np.argsort(sizes, kind="stable")
+    kind = np.searchsorted(np.array(buckets) * 4, sizes[order], "left")
+    out = []
+    for k in np.unique(kind):
+        same = order[kind == k]
+        out += [same[i : i + batch] for i in range(0, len(same), batch)]
+    return out
+
+
 def embed_column(make: "callable", text: Column) -> Column:
-    """Embed a text column with the backend that make() gives: batches are sorted by length so that
-    a padded model wastes little, and each row gets its own vector back."""
+    """Embed a text column with the backend that make() gives, once a worker: texts of like length go
+    together in small calls, so that a padded model wastes little, and each row gets its own vector
+    back. A null text is embedded as an empty one."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         backend = make()
         for texts in batches:
-            order = np.argsort(texts.str.len().fillna(0).to_numpy(), kind="stable")
-            vectors = backend.embed_batch([texts.iloc[i] or "" for i in order])
-            if len(vectors) != len(texts):
-                raise ValueError("the backend gave another number of vectors than of texts")
             out: list = [None] * len(texts)
-            for i, v in zip(order, vectors):
-                out[i] = np.asarray(v, np.float32)
+            for places in length_batches(texts.str.len().fillna(0).to_numpy()):
+                vectors = backend.embed_batch([texts.iloc[i] or "" for i in places])
+                if len(vectors) != len(places):
+                    raise ValueError("the backend gave another number of vectors than of texts")
+                for i, v in zip(places, vectors):
+                    out[i] = np.asarray(v, np.float32)
             yield pd.Series(out)
 
     return embed(text)

@@ -239,6 +239,39 @@ def source_status(spark, sf_dir):
     return registry.source_status(sources(spark, sf_dir), held, pending)
 
 
+_STATE = "CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'executing' WHEN 2 THEN 'discarded' ELSE 'retryable' END"
+
+
+@query(f"""WITH {_SOURCES_SQL}, last AS (SELECT CAST(user_id AS VARCHAR) AS id, max(CAST(ts AS TIMESTAMP)) AS t FROM events GROUP BY 1)
+SELECT id AS source_id, source_type FROM sources LEFT JOIN last USING (id)
+WHERE active AND policy = 'allow' AND (t IS NULL OR t + to_minutes(CASE source_type WHEN 'git_repo' THEN 15 WHEN 'jira_project' THEN 60 ELSE 30 END) <= (SELECT max(t) FROM last))""")
+def due_sources(spark, sf_dir):
+    """Suppliers as sources and users' events as their syncs; now is the last event."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("last_synced_at"))
+    last = e.groupBy("source_id").agg(F.max("last_synced_at").alias("last_synced_at"))
+    now = last.agg(F.max("last_synced_at").alias("now")).first()["now"]
+    return registry.due(sources(spark, sf_dir), last, F.lit(now))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN 'cancelled' WHEN event_id % 7 = 0 THEN 'scheduled' WHEN event_type <> 'error' THEN 'completed' WHEN event_id % 5 < 3 THEN 'retryable' ELSE 'discarded' END AS state,
+CAST(CASE WHEN event_id % 11 <> 0 AND event_id % 7 = 0 THEN event_id % 5 ELSE event_id % 5 + 1 END AS BIGINT) AS attempt FROM events""")
+def job_outcomes(spark, sf_dir):
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    attempts = e.select(
+        i.alias("id"), (i % 5 + 1).alias("attempt"), F.lit(4).alias("max_attempts"), F.when(F.col("event_type") == "error", "failed").alias("error"),
+        F.when(i % 7 == 0, F.lit(60)).alias("snooze_seconds"), F.when(i % 11 == 0, "content_too_large").alias("cancel_reason"),
+    )
+    return registry.outcomes(attempts).select("id", "state", F.col("attempt").cast("long").alias("attempt"))
+
+
+@query(f"""WITH jobs AS (SELECT event_id AS id, {_STATE} AS state, CAST(ts AS TIMESTAMP) AS t FROM events), clock AS (SELECT max(t) AS now FROM jobs)
+SELECT id, CASE WHEN state = 'executing' AND t < now - INTERVAL 20 MINUTE THEN 'available' ELSE state END AS state FROM jobs, clock WHERE NOT (state IN ('completed', 'discarded') AND t < now - INTERVAL 14 DAY)""")
+def prune_jobs(spark, sf_dir):
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(_STATE).alias("state"), F.col("ts").cast("timestamp").alias("at"))
+    now = jobs.agg(F.max("at").alias("now")).first()["now"]
+    return registry.prune_jobs(jobs, F.lit(now)).select("id", "state")
+
+
 @query("SELECT event_type AS state, count(*) AS jobs FROM events GROUP BY event_type")
 def jobs_by_state(spark, sf_dir):
     return registry.jobs_by_state(table(spark, sf_dir, "events").withColumnRenamed("event_type", "state"))
