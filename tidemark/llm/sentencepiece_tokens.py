@@ -7,6 +7,8 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -153,12 +155,11 @@ class Codec:
         ids = [x.ids for x in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
         cut = 1 if self.model.dummy_prefix else 0
         expected = self.reference.encode([c[cut:] if c.startswith(MARK) else c for c in fresh], num_threads=THREADS)
-        same = [a == b for a, b in zip(ids, expected)]
-        for c in fresh:
-            self.code[c] = len(self.code)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])
-        self.size = np.concatenate([self.size, np.array([len(x) for x in ids], np.int64)])
-        self.same = np.concatenate([self.same, np.array(same, bool)])
+        self.code.update(zip(fresh, range(len(self.code), len(self.code) + len(fresh))))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.size = np.concatenate([self.size, size])
+        self.same = np.concatenate([self.same, np.fromiter(map(eq, ids, expected), bool, len(ids))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ends, parity): text i has ids[ends[i-1]:ends[i]]; parity: the sentencepiece library
@@ -171,11 +172,11 @@ class Codec:
             self._reset()
         cut = [self.chunks(self.normalise(t)) for t in texts]
         known = self.code
-        fresh = list(dict.fromkeys(c for x in cut for c in x if c not in known))
+        fresh = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in known]
         if fresh:
             self._learn(fresh)
         count = np.array([len(x) for x in cut], np.int64)
-        code = np.fromiter((known[c] for x in cut for c in x), np.int64, int(count.sum()))
+        code = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(count.sum()))
         ids = self.flat[tk.ranges((np.cumsum(self.size) - self.size)[code], self.size[code])]
         ptr = np.concatenate([[0], np.cumsum(count)])
         sized = np.concatenate([[0], np.cumsum(self.size[code])])
