@@ -387,6 +387,7 @@ def test_grammar_scores_clauses_not_words():
     assert "aimed insult" in said('she said: "you are late". you are a moron')
     assert said("you aren't a moron") == said("you aren\u2019t a moron") == said("tu n'es pas moron") == ["denied"]
     assert "aimed threat" in said("he is killing you")
+    assert set(said('"you are a moron," she said')) == {"quoted"} and "aimed insult" in said('"you are a moron", late and she never said so')
 
 
 def test_toxicity_against_brute_force(spark, docs):
@@ -395,9 +396,24 @@ def test_toxicity_against_brute_force(spark, docs):
 
     fixed = {w: name for name, text in toxicity._WORDS.items() for w in text.split()}
     texts = docs.select("doc_id", "text").toPandas()
-    extra = ["she said: \"you are an idiot\", you moron", "you aren't stupid, you idiot", "kill. you", "I will kill you; not an idiot you scum", "dit, \u00absalope\u00bb idiot you", None, ""]
+    extra = ["she said: \"you are an idiot\", you moron", "you aren't stupid, you idiot", "kill. you", "I will kill you; not an idiot you scum", "dit, \u00absalope\u00bb idiot you", None, "", '"you idiot", late "you moron," he said', '"a" said "you idiot" she wrote', '"you idiot" and then later she said', 'idiot, he "said"']
     rows_ = [(int(a), b) for a, b in zip(texts["doc_id"], texts["text"])] + [(10_000 + i, t) for i, t in enumerate(extra)]
 
+    def closed_by(tokens, at):
+        """Whether the mark at a place opens a quotation that a later mark closes as an attributed one."""
+        ends = [i for i in range(len(tokens)) if tokens[i] == "quote"]
+        inside = False
+        for e in reversed(ends):
+            if e == at:
+                return inside
+            if inside:
+                inside = False
+            else:
+                rest = tokens[e + 1 :]
+                rest = rest[: rest.index("quote")] if "quote" in rest else rest
+                inside = "report" in [x for x in rest if x != "break"][: toxicity.SCOPE]
+        return inside
+
     def brute(text):
         text = re.sub("[\u201c\u201d\u201e\u00ab\u00bb]", '"', text or "").replace("\u2019", "'").lower()
         calm, clauses = 1.0, 0
@@ -413,6 +429,15 @@ def test_toxicity_against_brute_force(spark, docs):
                     tokens.append("negation")
                 else:
                     tokens.append(fixed.get(w, "other"))
+            for start in [i for i, x in enumerate(tokens) if x == "quote"]:
+                # a quotation ends where a reporting verb comes within three words, with no mark between
+                ahead = tokens[start + 1 :]
+                ahead = ahead[: ahead.index("quote")] if "quote" in ahead else ahead
+                words = [x for x in ahead if x != "break"][: toxicity.SCOPE]
+                before = [i for i in range(start) if tokens[i] == "quote"]
+                if "report" in words and not closed_by(tokens, start):
+                    for i in range(before[-1] + 1 if before else 0, start):
+                        tokens[i] = "cited" if tokens[i] in ("insult", "threat") else tokens[i]
             machines = [toxicity.negation(), toxicity.aim(), toxicity.report()]
             state, best = [m.start for m in machines], 0.0
             for x in [*tokens, "break"]:

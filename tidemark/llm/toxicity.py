@@ -22,7 +22,7 @@ STEMS = (4, 5, 6, 7)  # bytes of word beginnings that may be insults
 SCOPE = 3  # words that negation and targets reach
 TOXIC = 0.5
 
-SYMBOLS = ["other", "insult", "threat", "target", "negation", "report", "break", "quote"]
+SYMBOLS = ["other", "insult", "threat", "target", "negation", "report", "break", "quote", "cited"]
 _WORDS = {
     "insult": "idiot idiots moron morons loser losers scum stupid imbecile imbeciles pathetic worthless disgusting dumbass asshole bastard bitch retard dimwit idiotin idioten dummkopf trottel vollidiot arschloch schlampe abschaum versager depp wichser hurensohn connard connasse salaud salope imbécile imbéciles crétin crétine abruti abrutie ordure idiote idiota idiotas imbécil estúpido estúpida gilipollas cabrón pendejo escoria",
     "threat": "kill killing hurt hurting destroy destroying murder murdering stab stabbing shoot shooting beat beating strangle töten töte umbringen schlagen schlage vernichten vernichte tuer tuerai frapper frapperai détruire détruirai buter matar mataré golpear golpearé destruir destruiré herir",
@@ -34,7 +34,7 @@ _WORDS = {
 _ARC = {"match": 0.95, "unaimed insult": 0.74, "unaimed threat": 0.1, "denied": 0.2, "quoted": 0.3}
 _COST = {k: -log(v) for k, v in _ARC.items()}
 _PRIOR_DOCS = 5
-_MATCHED = ("insult", "aimed insult", "threat", "aimed threat", "denied")
+_MATCHED = ("insult", "aimed insult", "threat", "aimed threat", "denied", "cited")
 
 
 def negation() -> wfst.Transducer:
@@ -70,7 +70,7 @@ def aim() -> wfst.Transducer:
             return (calm[0], 0 if target else SCOPE, calm[2]), aimed, _COST["match"] + (0.0 if target else _COST["unaimed insult"])
         if x == "threat":
             return (calm[0], calm[1], SCOPE), "threat", _COST["match"] + _COST["unaimed threat"]
-        return calm, x, _COST["match"] if x == "denied" else 0.0
+        return calm, x, _COST["match"] if x in ("denied", "cited") else 0.0
 
     return wfst.Transducer((0, 0, 0), step)
 
@@ -89,7 +89,7 @@ def report() -> wfst.Transducer:
         if x == "break":
             # "said:" reaches over its break, as does a quotation that opens right after it
             return (1 if said == 1 else 0, opened), "none", 0.0
-        quoting = opened or said > 0
+        quoting = opened or said > 0 or x == "cited"
         to = (2 if said else 0, opened)
         if x in _MATCHED:
             return to, "quoted" if quoting else x, _COST["quoted"] if quoting else 0.0
@@ -98,8 +98,25 @@ def report() -> wfst.Transducer:
     return wfst.Transducer((0, False), step)
 
 
+def attribution() -> wfst.Transducer:
+    """Reads a sentence backwards: insults and threats in a quotation that a verb of reporting follows
+    within SCOPE words ("...", she said) come out cited."""
+
+    def step(state: tuple[int, bool], x: str) -> tuple[tuple[int, bool], str, float]:
+        left, inside = state
+        if x == "report" and not inside:
+            return (SCOPE, False), "none", 0.0
+        if x == "quote":
+            return (0, not inside and left > 0), "none", 0.0
+        left = left if x == "break" else max(left - 1, 0)
+        return (left, inside), "cited" if inside and x in ("insult", "threat") else "none", 0.0
+
+    return wfst.Transducer((0, False), step)
+
+
+ATTRIBUTION = wfst.compile_tables(attribution(), SYMBOLS)
 GRAMMAR = wfst.compile_tables(negation().then(aim()).then(report()), SYMBOLS)
-_BREAK, _QUOTE = SYMBOLS.index("break"), SYMBOLS.index("quote")
+_BREAK, _QUOTE, _CITED = (SYMBOLS.index(x) for x in ("break", "quote", "cited"))
 
 
 class Lexicon:
@@ -186,7 +203,12 @@ def matches(col: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np
     token = np.concatenate([symbol[at], kind])[order]
     place = np.concatenate([at, np.full(len(mark), -1)])[order]
     string = np.concatenate([np.repeat(np.arange(len(first)), size), np.repeat(np.arange(len(first)), hi - lo)])[order]
-    out, cost = wfst.run(GRAMMAR, token, np.searchsorted(string, np.arange(len(first) + 1)))
+    ptr = np.searchsorted(string, np.arange(len(first) + 1))
+    if (token == _QUOTE).any():
+        backwards = np.repeat(ptr[:-1] + ptr[1:] - 1, np.diff(ptr)) - np.arange(len(token))
+        seen, _ = wfst.run(ATTRIBUTION, token[backwards], ptr)
+        token[backwards[seen != ATTRIBUTION.outputs.index("none")]] = _CITED
+    out, cost = wfst.run(GRAMMAR, token, ptr)
     clause = np.cumsum(token == _BREAK) + string
     found = np.flatnonzero(out != GRAMMAR.outputs.index("none"))
     return np.searchsorted(words.ptr, place[found], "right") - 1, clause[found], out[found], np.exp(-cost[found]), rows
@@ -307,7 +329,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The grammar composes three weighted transducers over classes of words, clause breaks and
     quotation marks: negation denies insults and threats in its reach, targets aim insults and
     threats near them, and verbs of reporting quote what follows, over a colon and to the closing
-    mark. Arcs have probabilities that multiply along a path. A clause scores its strongest match.
+    mark; another one reads backwards and finds quotations that such a verb follows. Arcs have probabilities that multiply along a path. A clause scores its strongest match.
     Insults and a factor for each output are learned from `labels` (doc_id, toxic), on TRAIN_DOCS
     labelled documents at most, drawn by a hash of doc_id; the common insults and all other words of
     the grammar are fixed. A document labelled more than once counts as toxic if any label says so;
