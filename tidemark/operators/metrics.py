@@ -119,8 +119,8 @@ def summary(scored: DataFrame) -> DataFrame:
     """One row over scored(resolvable, ndcg, latency_ms): counts, mean nDCG and latency percentiles
     of the resolvable queries."""
     fine = lambda c: F.when(F.col("resolvable"), F.col(c))
-    rows = scored.withColumn("_l", fine("latency_ms"))
-    return rows.agg(
+    counts = scored.agg(
         F.count("*").alias("queries_total"), F.count_if("resolvable").alias("queries_resolved"), F.count_if(~F.col("resolvable")).alias("queries_unresolved"), F.avg(fine("ndcg")).alias("mean_ndcg"),
-        percentile("_l", 50).alias("p50"), percentile("_l", 95).alias("p95"), percentile("_l", 99).alias("p99"),
     )
+    one = percentiles(scored.select(F.lit(1).alias("all"), fine("latency_ms").alias("latency")), "all", "latency", (50, 95, 99))
+    return counts.join(one, F.lit(True), "left").drop("all")
