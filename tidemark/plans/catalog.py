@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, vector
+from tidemark.functions.stemmer import stem
 from tidemark.operators import chunk as chunking
 from tidemark.operators import grep as text_search
 from tidemark.operators import hybrid, ingest, metrics, registry, scrub
@@ -184,11 +185,43 @@ def hybrid_starved(spark, sf_dir):
     return _hybrid(spark, sf_dir, pool=5, lang="de")
 
 
-@query()
+#: What the words of the English query are inflected to: written out, so that the SQL holds no stemmer.
+_ENDINGS = ["", "s", "es", "ed", "ing", "ly", "edly", "ingly", "ings", "ness", "ment", "ments", "able", "ation", "ations", "er", "ers", "al", "ally", "ful", "fully", "ity", "ize", "ive", "ous", "ously", "y", "ion", "ions", "ism", "ist", "ance", "ence", "ant", "ent", "ate"]
+
+
+def _forms(lexeme: str) -> str:
+    return ", ".join(f"'{lexeme}{e}'" for e in dict.fromkeys(_ENDINGS) if stem(lexeme + e) == lexeme)
+
+
+def _english_sql() -> str:
+    """thereha or ("thin erer" and not trash), ranked by how often the lexemes occur."""
+    lexemes = ("thereha", "thin", "erer", "trash")
+    kind = "CASE " + " ".join(f"WHEN w IN ({_forms(x)}) THEN '{x}'" for x in lexemes) + " END"
+    series = "coalesce(list_sum(list_transform(range(1, 1 + least(256, {0})), lambda j: 0.1::DOUBLE / (j * j))), 0) / 1.64493406685"
+    score = " + ".join(series.format(x) for x in lexemes)
+    return f"""WITH {_CHUNKS_SQL}, {_vector_sql()}, toks AS (
+  SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT id, regexp_extract_all(lower(context_breadcrumb || ' ' || content), '[\\p{{L}}\\p{{N}}]+') AS ws FROM chunks)
+), marked AS (
+  SELECT DISTINCT id, least(p, 16383) AS p, {kind} AS x FROM toks WHERE {kind} IS NOT NULL
+), phrases AS (
+  SELECT DISTINCT a.id FROM marked a JOIN marked b ON b.id = a.id AND b.p = a.p + 1 WHERE a.x = 'thin' AND b.x = 'erer'
+), counts AS (
+  SELECT id, {", ".join(f"count(*) FILTER (WHERE x = '{x}') AS {x}" for x in lexemes)} FROM marked GROUP BY id
+), fts AS (
+  SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank FROM (SELECT id, ({score}) / {len(lexemes)} AS score FROM counts WHERE thereha > 0 OR (trash = 0 AND id IN (SELECT id FROM phrases))) QUALIFY rank <= 200
+), fused AS (
+  SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM vec UNION ALL SELECT * FROM fts) GROUP BY id
+)
+SELECT f.id, c.source_type, c.repo, c.lang, c.context_breadcrumb, c.path, round(f.score, 9) AS score
+FROM fused f JOIN chunks c USING (id) ORDER BY round(f.score, 9) DESC, f.id LIMIT 20"""
+
+
+@query(_english_sql())
 def hybrid_english(spark, sf_dir):
-    """Stems, stop words, web-style query and closeness rank."""
+    """Stems, stop words, and a web-style query with an alternative, a phrase and a negation."""
     ship(spark)
-    return hybrid.hybrid_search(chunks(spark, sf_dir, spread=True), 'thereha or "thin erer" -trash', query_vector(spark, sf_dir), 20)
+    hits = hybrid.hybrid_search(chunks(spark, sf_dir, spread=True), 'thereha or the "thin erer" -trash', query_vector(spark, sf_dir), 20)
+    return hits.select("id", "source_type", "repo", "lang", "context_breadcrumb", F.col("metadata")["path"].alias("path"), F.round("score", 9).alias("score"))
 
 
 _AXIS = [1.0] + [0.0] * 63
