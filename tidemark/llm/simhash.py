@@ -103,18 +103,24 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
+def _equal_bytes(x: np.ndarray) -> np.ndarray:
+    """The top bit of each byte of x that is zero."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return ~(((x & low) + low) | x | low)
+
+
 def _links(kind: np.ndarray, f: np.ndarray, i: np.ndarray, j: np.ndarray, posted: np.ndarray) -> np.ndarray:
     """Which pairs (i, j), each met in a list of kind[i], are links that belong to that list: their
     shared positional bytes reach MIN_SHARED, they differ in VERIFY_BITS at most, and no earlier
     kind of list holds both."""
-    first = f[0][i] ^ f[0][j]
-    at = np.flatnonzero(np.bitwise_count(first) + np.bitwise_count(f[1][i] ^ f[1][j]) <= VERIFY_BITS)
-    # most pairs of a dense cluster belong to the first group's lists: the others are let go early
+    # in a dense cluster most pairs belong to the first group's lists: all others let them go early
     size = posted.shape[1]
-    group = np.array_split(np.arange(PLACES), (MIN_SHARED - 1) // (size - 1))[0][:8]
-    within = np.count_nonzero(np.ascontiguousarray(first[at]).view(np.uint8).reshape(-1, 8)[:, group] == 0, axis=1)
-    later = np.flatnonzero(posted[:, 0] >= group[-1] + 1)
-    at = at[(within < size) | (kind[i[at]] < (later[0] if len(later) else len(posted)))]
+    group = np.array_split(np.arange(PLACES), (MIN_SHARED - 1) // (size - 1))[0]
+    first = f[0][i] ^ f[0][j]
+    within = np.bitwise_count(_equal_bytes(first) & np.uint64((1 << 8 * len(group)) - 1))
+    at = np.flatnonzero((within < size) | (kind[i] < int((posted[:, 0] <= group[-1]).sum())))
+    a, b = i[at], j[at]
+    at = at[np.bitwise_count(first[at]) + np.bitwise_count(f[1][a] ^ f[1][b]) <= VERIFY_BITS]
     found = []
     for lo in range(0, len(at), _CHUNK // 8):
         part = at[lo : lo + _CHUNK // 8]
