@@ -242,12 +242,12 @@ def matryoshka_norm(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, list_transform(v, lambda x: round(x / n, 6)) AS embedding FROM (
+SELECT doc_id, list_transform(v, lambda x: round(x / n, 6) + 0.0::DOUBLE) AS embedding FROM (
   SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
     SELECT doc_id, list_transform(range(1, 385), lambda i: sin(h * (2 * i + 1) % 134217728 / 1e6)) AS v FROM (SELECT doc_id, CAST('0x' || substr(md5(text), 1, 12) AS BIGINT) AS h FROM documents)))""")
 def stub_embeddings(spark, sf_dir):
     unit = vector.stub_embedding(F.col("text"), 384)
-    return table(spark, sf_dir, "documents", spread=True).select("doc_id", F.transform(unit, lambda x: F.round(x, 6)).alias("embedding"))
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", F.transform(unit, lambda x: F.round(x, 6) + 0.0).alias("embedding"))
 
 
 # ---- registry ---------------------------------------------------------------------------------
